@@ -42,7 +42,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[list[tuple[np.ndarra
         for back in range(1, width):
             last = ends[1:] - back
             inside[last[(last >= starts) & (last < len(joined))]] = False
-        bucket = mix64(joined[inside] + np.uint64(width) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(BUCKETS - 1)
+        bucket = mix64(joined[inside] + np.uint64(width * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(BUCKETS - 1)
         out.append((bucket.astype(np.int64), np.concatenate([[0], np.cumsum(many)])))
     return out, np.diff(ends) > 0
 
