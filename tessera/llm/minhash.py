@@ -11,7 +11,7 @@ two rounds, so that a bucket of n never becomes n * n pairs: first each member i
 against the most similar of its buckets' smallest members; then, in buckets whose members
 still lie in different components, the members outside the bucket's largest component are
 compared with all of the bucket, each pair in one table only and only if a one-permutation
-sketch leaves the similarity possible."""
+sketch, and for sets of usual size the sets' own 32-bit marks, leave the similarity possible."""
 
 from __future__ import annotations
 
@@ -30,7 +30,8 @@ WORD[[9, 10, 11, 12, 13, 32]] = False
 ROWS = 2  # minhashes in a tuple
 BINS = 256  # of the one-permutation sketch
 PLANES = 4  # filled or not, and three bits of the bin's least hash
-SLACK = 0.13  # how far below the threshold a sketch's estimate may lie
+SLACK = 0.09  # how far below the threshold a sketch's estimate may lie: over four of its standard deviations
+MOST_MARKS = 512  # set sizes up to which round 2 compares whole sets, as 32-bit marks, before it forms a pair
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +137,21 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
+def _marks(texts: DataFrame, width: int) -> DataFrame:
+    """cls, marks: 32 bits of each shingle hash, null for larger sets. texts: rep, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = utf8(batch.column("text"))
+            for lo, hi in slices(batch, bounds):
+                hashes, ends = shingle_sets(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], width)
+                low = hashes.astype(np.uint32).view(np.int32)
+                marks = [low[a:b] if b - a <= MOST_MARKS else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep")[lo:hi], pa.array(marks, pa.list_(pa.int32()))], ["cls", "marks"])
+
+    return texts.mapInArrow(run, "cls long, marks array<int>")
+
+
 def _largest_first(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
@@ -226,13 +242,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
     main = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main")).where("parts > 1")
     apart = placed.join(main.select("key", "main"), "key").join(reps.select("cls", "n", "u", "v", "sketch"), "cls")
     apart = stored(apart, "apart")
-    left, right = (apart.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "component", "main", "n", "u", "v", "sketch"))) for s in "ab")
+    marks = _marks(texts.join(apart.select(F.col("cls").alias("rep")).distinct(), "rep", "left_semi"), width)
+    apart = apart.join(marks, "cls", "left")
+    left, right = (apart.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "component", "main", "n", "u", "v", "sketch", "marks"))) for s in "ab")
     col = F.col
     same, filled = _similar(col("sketch_a"), col("sketch_b"))
     first_equal = lambda c: F.element_at(F.filter(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
     other = (col("component_a") != col("component_b")) & ((col("component_b") == col("main_b")) | (col("cls_a") < col("cls_b")))
     once = F.xxhash64(first_equal("u"), first_equal("v")) == col("key")
-    rest = left.where("component_a <> main_a").join(right, "key").where(other & possible(col("n_a"), col("n_b")) & (same * 100 >= filled * floor)).where(once)
+    both = F.size(F.array_intersect("marks_a", "marks_b")) + 1  # two marks of a set may be equal
+    enough = col("marks_a").isNull() | col("marks_b").isNull() | (both * 100 >= (col("n_a") + col("n_b") - both) * percent)
+    rest = left.where("component_a <> main_a").join(right, "key").where(other & possible(col("n_a"), col("n_b")) & (same * 100 >= filled * floor) & once & enough)
     pairs = stored(rest.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), "pairs")
     if not pairs.isEmpty():
         links = links.union(stored(verified(pairs, texts, width, percent), "links"))
