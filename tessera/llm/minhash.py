@@ -213,10 +213,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
     reps = stored(reps.withColumn("cls", F.struct("rep", *of_set)).withColumn("cls", F.xxhash64("cls")), "classes")
 
     # table keys: every pair of one tuple of either collection
-    table = F.explode(F.flatten(F.transform("u", lambda x: F.transform("v", lambda y: F.xxhash64(x, y)))))
-    keys = reps.select("cls", table.alias("key"))
+    table = F.posexplode(F.flatten(F.transform("u", lambda x: F.transform("v", lambda y: F.xxhash64(x, y)))))
+    keys = reps.select("cls", table.alias("table", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("hub")).where("size > 1")
-    members = stored(keys.join(shared, "key").select("key", "cls", "hub"), "members")
+    members = stored(keys.join(shared, "key").select("key", "table", "cls", "hub"), "members")
     slim = reps.select("cls", "n", "sketch")
     possible = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     floor = int(100 * (percent / 100 - SLACK))
@@ -237,22 +237,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
     near = components(links)
 
     # round 2: what still lies apart in a bucket, against all of the bucket
-    placed = members.select("key", "cls").join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = members.select("key", "table", "cls").join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     sizes = placed.groupBy("key", "component").count()
     main = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main")).where("parts > 1")
     apart = placed.join(main.select("key", "main"), "key").join(reps.select("cls", "n", "u", "v", "sketch"), "cls")
     apart = stored(apart, "apart")
     marks = _marks(texts.join(apart.select(F.col("cls").alias("rep")).distinct(), "rep", "left_semi"), width)
     apart = apart.join(marks, "cls", "left")
-    left, right = (apart.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "component", "main", "n", "u", "v", "sketch", "marks"))) for s in "ab")
+    left, right = (apart.select("key", "table", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "component", "main", "n", "u", "v", "sketch", "marks"))) for s in "ab")
     col = F.col
     same, filled = _similar(col("sketch_a"), col("sketch_b"))
-    first_equal = lambda c: F.element_at(F.filter(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
     other = (col("component_a") != col("component_b")) & ((col("component_b") == col("main_b")) | (col("cls_a") < col("cls_b")))
-    once = F.xxhash64(first_equal("u"), first_equal("v")) == col("key")
+    # in the first table that both share: no earlier tuple of either collection is equal
+    once = F.lit(True)
+    for c, at in (("u", F.floor(col("table") / m)), ("v", col("table") % m)):
+        for k in range(m - 1):
+            once &= (at <= k) | (col(f"{c}_a")[k] != col(f"{c}_b")[k])
     both = F.size(F.array_intersect("marks_a", "marks_b")) + 1  # two marks of a set may be equal
     enough = col("marks_a").isNull() | col("marks_b").isNull() | (both * 100 >= (col("n_a") + col("n_b") - both) * percent)
-    rest = left.where("component_a <> main_a").join(right, "key").where(other & possible(col("n_a"), col("n_b")) & (same * 100 >= filled * floor) & once & enough)
+    rest = left.where("component_a <> main_a").join(right.drop("table"), "key").where(other & possible(col("n_a"), col("n_b")) & (same * 100 >= filled * floor) & once & enough)
     pairs = stored(rest.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), "pairs")
     if not pairs.isEmpty():
         links = links.union(stored(verified(pairs, texts, width, percent), "links"))
