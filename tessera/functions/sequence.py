@@ -73,6 +73,24 @@ def motif_mismatches(seq: Column, motif: str, start: int) -> Column:
     return F.when(clean, out)
 
 
+def tag_match(seq: Column, anchor: str, trailing: str, *, start: int, umi: tuple[int, int], trail: int, cdna: int, drift: int = 24, most: int = 1) -> Column:
+    """struct(start, umi) of the leftmost tag of a read; null without one, or without a read.
+
+    The anchor may begin at ``start`` to ``start + drift``. From where it begins, ``umi`` gives
+    the offset and length of the UMI, ``trail`` the offset of the trailing motif, which may have
+    ``most`` substitutions, and ``cdna`` that of the first base behind the tag, which must be there."""
+
+    def holds(at: Column) -> Column:
+        wrong = F.lit(0)
+        for k, base in enumerate(trailing):
+            wrong = wrong + F.when(F.substring(seq, at + (trail + k + 1), 1) == base, 0).otherwise(1)
+        ends = at + max(cdna, trail + len(trailing) - 1, umi[0] + umi[1] - 1)
+        return (F.substring(seq, at + 1, len(anchor)) == anchor) & (F.length(seq) > ends) & (wrong <= most)
+
+    first = F.get(F.filter(F.sequence(F.lit(start), F.lit(start + drift)), holds), F.lit(0))
+    return F.when(seq.contains(anchor) & first.isNotNull(), F.struct(first.alias("start"), F.substring(seq, first + (umi[0] + 1), umi[1]).alias("umi")))
+
+
 def quality_encoding(least: Column, most: Column) -> Column:
     return F.when(least < 64, "phred33").when(most > 74, "phred64").otherwise("unknown")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.sequence import BASES, dominant, entropy_bits, hamming, motif_mismatches, reverse_complement, window
+from tessera.functions.sequence import BASES, dominant, entropy_bits, hamming, motif_mismatches, reverse_complement, tag_match, window
 
 PURE = 0.9  # share of one base from which a cycle counts as pure
 HOMOPOLYMER = 4  # cycles of one base in a row
@@ -128,3 +128,20 @@ def intersect_fraction(a: DataFrame, b: DataFrame, column: str = "barcode") -> D
     sides = both.groupBy(column).agg(F.max("a").alias("a"), F.max("b").alias("b"))
     counts = sides.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_b"), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("shared"))
     return counts.select("n_a", "n_b", "shared", F.coalesce(F.try_divide("shared", F.least("n_a", "n_b")), F.lit(0.0)).alias("fraction"))
+
+
+def extract_tags(reads: DataFrame, anchor: str, trailing: str, **geometry) -> DataFrame:
+    """``reads`` (seq and any other columns) with tagged, start, umi, and seq cut to what lies behind the tag.
+
+    Reads without a tag keep their bases, with null start and umi; a null read is untagged.
+    For the geometry see ``tag_match``. No shuffle: one pass over the reads."""
+    match = F.col("__tag")
+    cut = F.when(match.isNull(), F.col("seq")).otherwise(F.substring(F.col("seq"), match["start"] + (geometry["cdna"] + 1), F.length("seq")))
+    rows = reads.withColumn("__tag", tag_match(F.col("seq"), anchor, trailing, **geometry))
+    return rows.withColumns({"seq": cut, "tagged": match.isNotNull(), "start": match["start"], "umi": match["umi"]}).drop("__tag")
+
+
+def tag_profile(tagged: DataFrame, start: int) -> DataFrame:
+    """Per file of ``extract_tags``: reads, tagged, drifted (tags not at ``start``), and the shares of tagged reads and drifted tags; a share of nothing is null."""
+    by = tagged.groupBy("file").agg(F.count("*").alias("reads"), F.count_if("tagged").alias("tagged"), F.count_if(F.col("tagged") & (F.col("start") != start)).alias("drifted"))
+    return by.select("*", F.try_divide("tagged", "reads").alias("tagged_share"), F.try_divide("drifted", "tagged").alias("drift_share"))

@@ -176,3 +176,32 @@ def read_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.select("p_partkey", sequence.quality_encoding(33 + F.col("p_size"), 33 + F.col("p_size") + F.col("p_partkey") % 40).alias("encoding"))
+
+
+#: The tag of the queries: an anchor, a UMI of six bases, a motif with one substitution at most.
+TAG = {"anchor": "AC", "trailing": "TTG", "start": 0, "umi": (2, 6), "trail": 8, "cdna": 11}
+TAGGED = """
+hits AS (
+  SELECT read_id, min(k) AS place FROM reads, unnest(range(25)) AS t(k)
+  WHERE substr(seq, k + 1, 2) = 'AC' AND length(seq) > k + 11
+    AND CAST(substr(seq, k + 9, 1) <> 'T' AS INTEGER) + CAST(substr(seq, k + 10, 1) <> 'T' AS INTEGER) + CAST(substr(seq, k + 11, 1) <> 'G' AS INTEGER) <= 1
+  GROUP BY read_id),
+tags AS (
+  SELECT read_id, file, CASE WHEN place IS NULL THEN seq ELSE substr(seq, place + 12) END AS seq, place IS NOT NULL AS tagged, CAST(place AS INTEGER) AS start, substr(seq, place + 3, 6) AS umi
+  FROM reads LEFT JOIN hits USING (read_id))"""
+
+
+@query(with_views(f"WITH {TAGGED} SELECT * FROM tags", "reads"))
+def tag_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.extract_tags(view(spark, sf_dir, "reads"), **TAG)
+
+
+@query(
+    with_views(
+        f"""WITH {TAGGED}, n AS (SELECT file, count(*) AS reads, count(*) FILTER (tagged) AS tagged, count(*) FILTER (tagged AND start <> 0) AS drifted FROM tags GROUP BY file)
+SELECT *, tagged / reads AS tagged_share, CASE WHEN tagged > 0 THEN drifted / tagged END AS drift_share FROM n""",
+        "reads",
+    )
+)
+def tag_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.tag_profile(ops.extract_tags(view(spark, sf_dir, "reads"), **TAG), start=TAG["start"])

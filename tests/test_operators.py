@@ -171,3 +171,29 @@ def test_tables(spark, tmp_path):
     assert {tuple(r) for r in tables.read_key_values(spark, str(tmp_path / "log")).collect()} == {("Reads", "12"), ("Rate", "3.5%")}
     tables.write_tsv(spark.createDataFrame([("a\t b", 1)], "x string, y long"), str(tmp_path / "out"))
     assert "a b\t1" in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+
+
+def brute_tag(seq, anchor, trailing, start, umi, trail, cdna, drift, most):
+    for at in range(start, start + drift + 1):
+        motif = seq[at + trail : at + trail + len(trailing)]
+        if seq[at:].startswith(anchor) and len(seq) > at + cdna and len(motif) == len(trailing) and sum(x != y for x, y in zip(motif, trailing, strict=True)) <= most:
+            return at, seq[at + umi[0] : at + umi[0] + umi[1]]
+    return None
+
+
+def test_extract_tags(spark):
+    rng = random.Random(3)
+    g = {"anchor": "AC", "trailing": "GGG", "start": 1, "umi": (2, 4), "trail": 6, "cdna": 9, "drift": 5, "most": 1}
+    seqs = ["", "AC", "AACTTTTGGG", "AACTTTTGGGA", "ACACACACACGGGT", None] + ["".join(rng.choices("ACG", k=rng.randrange(8, 24))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string").withColumn("file", F.lit("f"))
+    tagged = reads.extract_tags(rows, **g)
+    got = {r.id: r for r in tagged.collect()}
+    assert len(got) == len(seqs) and sum(r.tagged for r in got.values()) > 50
+    for k, seq in enumerate(seqs):
+        want = brute_tag(seq, **g) if seq else None
+        assert (got[k].tagged, got[k].start, got[k].umi) == ((True, *want) if want else (False, None, None)), seq
+        assert got[k].seq == (seq[want[0] + 9 :] if want else seq)
+    profile = reads.tag_profile(tagged, start=1).first()
+    assert profile.reads == len(seqs) and profile.tagged == sum(r.tagged for r in got.values())
+    assert profile.drifted == sum(r.tagged and r.start != 1 for r in got.values())
+    assert reads.tag_profile(tagged.where("false"), start=1).count() == 0
