@@ -3,10 +3,12 @@
 A token is an open tag with its path of tags, ids and classes, or, outside an article
 container, a whole text block with its path. Tokens of one host that have the same occurrence
 vector (how often on each page) form an equivalence class. A class is valid if its tokens
-first come in the same order on all its pages, and it nests if it always follows the same
-token of one other class; valid nested classes make up the host's template. What lies between
-template tokens are slots: a page's main text is the text of the slots that are left after
-the template's own text, boilerplate elements and link lists have gone.
+first come in the same order on all its pages, and it nests if each of its tokens always
+follows the same token of the host's frame, the classes on most of its pages; valid nested
+classes make up the host's template. The blocks that are left after the template's own text and
+boilerplate elements have gone are slots. Article containers (by tag and class) confirm slots:
+a page's main text is what lies in them if that is half of the slots' text or more, and else
+all slots but mostly linked ones. Text in containers is no token, so template never removes any.
 
 Occurrence vectors are compared by a sum of hashes over page shapes, so no task ever holds
 the pages of a host, and classes are checked shape by shape."""
@@ -230,63 +232,69 @@ def _with_host(rows: DataFrame, by_host: DataFrame, size: Column) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, token, cls, place (order inside the class), parent (the class it nests in, or null), gap (after which place).
+    """host, token, cls, place (order inside the class), parent (the frame's class that it follows, or null), gap (after which place).
 
-    pages: url, html. A row per token of a valid class."""
+    pages: url, html. A row per token of a valid nested class."""
     shapes = stored(_shapes(pages).withColumn("shape", F.xxhash64("host", "tokens", "counts")), "shapes")
     hosts = shapes.groupBy("host").agg(F.sum("pages").alias("host_pages"))
     spread = shapes.select("host", "shape", "pages", F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
     part = F.xxhash64("shape", "x.counts").cast("decimal(20,0)")
     vectors = spread.groupBy("host", F.col("x.tokens").alias("token")).agg(F.sum(part).alias("vector"), F.sum("pages").alias("support"))
     vectors = vectors.join(hosts, "host").where((F.col("support") >= LEAST_PAGES) & (F.col("support") >= F.col("host_pages") * LEAST_SHARE))
-    named = vectors.groupBy("host", "vector", "support").agg(F.collect_list("token").alias("tokens"), F.min("token").alias("cls"))
+    # the frame: tokens on most pages of the host; other classes nest in its gaps
+    most = vectors.groupBy("host").agg(F.max("support").alias("most"))
+    named = vectors.groupBy("host", "vector", "support").agg(F.collect_list("token").alias("tokens"), F.min("token").alias("cls")).join(most, "host")
     # a row per host: at most 1 / LEAST_SHARE times the tokens of a page are frequent
-    frequent = stored(named.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("known"), F.flatten(F.collect_list(F.expr("transform(tokens, t -> cls)"))).alias("known_cls")), "frequent")
+    listed = [F.flatten(F.collect_list(x)).alias(c) for c, x in (("known", F.col("tokens")), ("known_cls", F.expr("transform(tokens, t -> cls)")), ("framed", F.expr("transform(tokens, t -> support = most)")))]
+    frequent = stored(named.groupBy("host").agg(*listed), "frequent")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = set()
-            rows = zip(*(batch.column(c).to_pylist() for c in ("host", "tokens", "known", "known_cls")), strict=True)
-            for host, tokens, known, known_cls in rows:
-                cls_of = dict(zip(known or [], known_cls or [], strict=True))
-                order: dict[int, list[int]] = {}
-                before: dict[int, tuple[int | None, int]] = {}
-                last: tuple[int | None, int] = (None, 0)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("host", "tokens", "known", "known_cls", "framed")), strict=True)
+            for host, tokens, known, known_cls, framed in rows:
+                cls_of = dict(zip(known or [], zip(known_cls or [], framed or [], strict=True), strict=True))
+                order: dict[int, list[tuple[int, int, int]]] = {}
+                last, any_frame = (0, 0), False
                 for t in tokens:
-                    if (c := cls_of.get(t)) is not None:
-                        before.setdefault(c, last)
-                        order.setdefault(c, []).append(t)
-                        last = (c, len(order[c]))
-                found.update((host, c, tuple(ts), *before[c]) for c, ts in order.items())
+                    if t in cls_of:
+                        c, in_frame = cls_of[t]
+                        order.setdefault(c, []).append((t, *last))
+                        if in_frame:
+                            last, any_frame = (c, len(order[c])), True
+                for c, own in order.items():
+                    ts, parents, gaps = zip(*own, strict=True)
+                    found.add((host, c, ts, parents if any_frame else None, gaps if any_frame else None))
             found = list(found)
-            types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-            names = ["host", "cls", "ordered", "parent", "gap"]
-            yield pa.RecordBatch.from_arrays([pa.array([list(f[k]) if k == 2 else f[k] for f in found], t) for k, t in enumerate(types)], names)
+            types = [pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+            names = ["host", "cls", "ordered", "parents", "gaps"]
+            yield pa.RecordBatch.from_arrays([pa.array([list(f[k]) if k > 1 and f[k] is not None else f[k] for f in found], t) for k, t in enumerate(types)], names)
 
-    placed = _with_host(shapes.select("host", "tokens"), frequent, F.size("known") * 16 + 64)
-    seen = placed.mapInArrow(run, "host string, cls long, ordered array<long>, parent long, gap long")
-    valid = seen.groupBy("host", "cls").agg(F.min("ordered").alias("ordered"), F.max("ordered").alias("other"), F.min(F.struct(F.coalesce("parent", F.lit(0)).alias("c"), "gap")).alias("least"), F.max(F.struct(F.coalesce("parent", F.lit(0)).alias("c"), "gap")).alias("most"), F.max("parent").alias("parent"))
-    valid = valid.where("ordered = other")
-    nested = F.col("least") == F.col("most")
-    return valid.select("host", F.posexplode("ordered").alias("place", "token"), "cls", F.when(nested, F.col("parent")).alias("parent"), F.when(nested, F.col("least.gap")).alias("gap"))
+    placed = _with_host(shapes.select("host", "tokens"), frequent, F.size("known") * 17 + 64)
+    seen = placed.mapInArrow(run, "host string, cls long, ordered array<long>, parents array<long>, gaps array<long>")
+    lies = F.when(F.col("gaps").isNotNull(), F.struct("parents", "gaps"))
+    valid = seen.groupBy("host", "cls").agg(F.min("ordered").alias("ordered"), F.max("ordered").alias("other"), F.min(lies).alias("least"), F.max(lies).alias("most"))
+    # pages without the frame say nothing about nesting
+    valid = valid.where("ordered = other and (least is null or least = most)").select("host", "cls", "least", F.posexplode("ordered").alias("place", "token"))
+    return valid.select("host", "place", "token", "cls", F.expr("nullif(least.parents[place], 0)").alias("parent"), F.expr("least.gaps[place]").alias("gap"))
 
 
-def main_blocks(blocks: list[Block], tags: list[tuple[str, bool]], template: set[int]) -> list[str]:
-    """The texts of the slots that make up the article."""
-    own = [b for b in blocks if b.main and not b.banned]
-    if any(main for _, main in tags):
-        return [b.text for b in own]
-    left = [b for b in blocks if not b.banned and text_token(b) not in template]
-    return [b.text for b in left if 2 * b.linked <= len(b.text)]
+def main_blocks(blocks: list[Block], template: set[int]) -> list[str]:
+    """The texts of the slots that make up the article: those in containers if these hold half of the slots' text or more."""
+    slots = [b for b in blocks if not b.banned and (b.main or text_token(b) not in template)]
+    inside, left = [b for b in slots if b.main], [b for b in slots if 2 * b.linked <= len(b.text)]
+    if inside and 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in left):
+        return [b.text for b in inside]
+    return [b.text for b in left]
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """The main text of every page of ``pages`` (page_id, url, html; other columns are left out).
 
-    page_id, url, text (blocks joined by a line feed; empty if there are none) and n_chars. A
-    page with an article container gives all text blocks in it but those of boilerplate
-    elements inside; other pages give what their host's template leaves: blocks that are not
-    boilerplate elements, not texts of the template and not mostly links. A host with fewer
+    page_id, url, text (blocks joined by a line feed; empty if there are none) and n_chars.
+    Slots are the blocks that are neither in boilerplate elements nor texts of the host's
+    template. If article containers hold half of the slots' text or more, they are the main
+    text; else it is all slots but those that are mostly links. A host with fewer
     than 3 pages has no template. Null html is empty, a null url is a host of its own, repeated
     rows repeat, an empty table gives an empty result."""
     spark = pages.sparkSession
@@ -299,7 +307,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
-                texts.append("\n".join(main_blocks(*parse(page or ""), set(template or ()))))
+                texts.append("\n".join(main_blocks(parse(page or "")[0], set(template or ()))))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
 
     rows = _with_host(pages.withColumn("host", host_of(F.col("url"))), by_host, F.size("template") * 8 + 64)
