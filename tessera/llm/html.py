@@ -8,7 +8,7 @@ follows the same token of the host's frame, the classes on most of its pages; va
 classes make up the host's template. The blocks that are left after the template's own text and
 boilerplate elements have gone are slots. Article containers (by tag and class) confirm slots:
 a page's main text is what lies in them if that is half of the slots' text or more, and else
-all slots but mostly linked ones. Text in containers is no token, so template never removes any.
+all slots but link lists. Text in containers is no token, so template never removes any.
 
 Occurrence vectors are compared by a sum of hashes over page shapes, so no task ever holds
 the pages of a host, and classes are checked shape by shape."""
@@ -16,6 +16,7 @@ the pages of a host, and classes are checked shape by shape."""
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -279,10 +280,20 @@ def templates(pages: DataFrame) -> DataFrame:
     return valid.select("host", "place", "token", "cls", F.expr("nullif(least.parents[place], 0)").alias("parent"), F.expr("least.gaps[place]").alias("gap"))
 
 
+def _without_link_lists(blocks: list[Block]) -> list[Block]:
+    """``blocks`` but for runs under one element whose text is mostly links: a linked paragraph among others stays."""
+    out: list[Block] = []
+    for _, run in itertools.groupby(blocks, lambda b: b.path.rpartition("/")[0]):
+        own = list(run)
+        if 2 * sum(b.linked for b in own) <= sum(len(b.text) for b in own):
+            out += own
+    return out
+
+
 def main_blocks(blocks: list[Block], template: set[int]) -> list[str]:
     """The texts of the slots that make up the article: those in containers if these hold half of the slots' text or more."""
     slots = [b for b in blocks if not b.banned and (b.main or text_token(b) not in template)]
-    inside, left = [b for b in slots if b.main], [b for b in slots if 2 * b.linked <= len(b.text)]
+    inside, left = [b for b in slots if b.main], _without_link_lists(slots)
     if inside and 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in left):
         return [b.text for b in inside]
     return [b.text for b in left]
@@ -294,7 +305,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     page_id, url, text (blocks joined by a line feed; empty if there are none) and n_chars.
     Slots are the blocks that are neither in boilerplate elements nor texts of the host's
     template. If article containers hold half of the slots' text or more, they are the main
-    text; else it is all slots but those that are mostly links. A host with fewer
+    text; else it is all slots but runs of blocks that are mostly links. A host with fewer
     than 3 pages has no template. Null html is empty, a null url is a host of its own, repeated
     rows repeat, an empty table gives an empty result."""
     spark = pages.sparkSession

@@ -29,3 +29,16 @@ def test_what_nests_nowhere_is_no_template(spark):
     for k in range(9):
         assert ("Seen at odd places" in got[k]) == (k < 6)
         assert "one place" not in got[k] and "every page" not in got[k] and f"{k} {LONG}" in got[k]
+
+
+def test_containers_that_are_not_the_article(spark):
+    story = f"<div class=x><p>{LONG}</p><p>And {LONG}</p></div>"
+    want = f"{LONG}\nAnd {LONG}"
+    pages = [f"<body>{story}<aside><article><p>Teaser</p></article></aside>", f"<body><div class=entry-title>Title</div>{story}", f"<body><article></article>{story}", f"<body><article>{story}</article><div><p>Other</p></div>"]
+    assert texts(spark, pages, one_host=False) == {0: want, 1: f"Title\n{want}", 2: want, 3: want}
+
+
+def test_linked_paragraph_of_an_article_stays(spark):
+    linked = f"<p>{LONG}</p><p><a href=/a>A paragraph that is all link</a></p><p>End: {LONG}</p>"
+    links = "<ul><li><a href=/b>One other page</a><li><a href=/c>Yet another page</a></ul>"
+    assert texts(spark, [f"<body><div class=x>{linked}</div>{links}"]) == {0: f"{LONG}\nA paragraph that is all link\nEnd: {LONG}"}
