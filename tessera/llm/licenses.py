@@ -1,13 +1,16 @@
 """License scans by sentence rules.
 
-Each sentence of a text is normalised (lower case, anything but letters, digits, dots inside
-numbers and signs as one space) and mapped to the identifier of a known licence sentence, by
-patterns tried in order. The identifiers of a text, in order, are then matched against
+Each line of a text is normalised (lower case, anything but letters, digits, dots inside
+numbers and signs as one space, comment signs before it gone) and mapped to the identifier of
+the known licence sentence that begins in it, by patterns tried in order. A sentence may be
+wrapped over lines; it ends at a mark or a blank line. The SQL knows one-line sentences only. The identifiers of a text, in order, are then matched against
 ordered licence rules, longest first: a rule is a run of identifiers with nothing known in
 between; what a rule matches is used up. Everything is column expressions."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,39 +65,53 @@ RULES: list[tuple[str, str]] = [
     ("X", "Proprietary"),
 ]
 
-#: A sentence ends at a line's end, or at a mark before white space and what is no lower-case letter.
+#: A sentence ends at a blank line, or at a mark before white space and what is no lower-case letter.
 BREAK = r"([.!?])[ \t\r\n\f]+([^a-z \t\r\n\f])"
 
 
-def normalised(sentence: Column) -> Column:
-    low = F.lower(sentence)
-    plain = F.regexp_replace(low, r"[^a-z0-9.,/]+", " ")
-    return F.regexp_replace(F.regexp_replace(plain, r"\.+( |$)", " "), r"^[ ,/]+|[ ,]+$", "")
+#: What a line break inside a sentence looks like to a pattern: a space, with the mark that its next line may bear.
+SPACE = r"(?: |\n(?:\x01[A-Z])?)"
+
+
+def line_pattern(letter: str, pattern: str) -> str:
+    """A known sentence's pattern at the start of a line without a mark: the sentence begins in that line and may run over the next ones."""
+    at = "" if pattern.startswith("^") else r"[^\n]*?"
+    body = pattern.removeprefix("^")
+    end = r"(?=[ ,]*(?:\n|\z))" if body.endswith("$") else ""
+    body = body.removesuffix("$")
+    if letter != "S":  # an SPDX line stands for itself
+        body = re.sub(r"(?<=[a-z])\.(?=[a-z])", lambda _: f"(?:{SPACE}|[^\\n])", body.replace(" ", SPACE).replace(".*", r"(?:(?!\n\n)[\s\S])*?"))
+    return rf"(?m)^(?!\x01)(?={at}{body}{end})"
+
+
+def normalised(block: Column) -> Column:
+    """Line by line; a line of signs alone, as between commented paragraphs, becomes an empty one."""
+    plain = F.regexp_replace(F.lower(block), r"[^a-z0-9.,/\n]+", " ")
+    plain = F.regexp_replace(plain, r"\.+(?=[ \n]|\z)", "")
+    return F.regexp_replace(F.regexp_replace(plain, r" +(?=\n|\z)", ""), r"(?m)^[ ,/]+", "")
 
 
-def sentence_letter(sentence: Column) -> Column:
-    """The letter of a known sentence, or null. A cheap test comes first: most sentences hold no licence word."""
-    text = normalised(sentence)
-    chosen = None
-    for letter, pattern in SENTENCES:
-        hit = text.rlike(pattern)
-        chosen = F.when(hit, letter) if chosen is None else chosen.when(hit, letter)
-    telling = F.lower(sentence).rlike(r"licen|copyright|permission|redistribut|warrant|spdx|reserved|unless required|neither the name")
-    return F.when(telling, chosen)
+def known_sentences(block: Column) -> Column:
+    """id, s of the lines of a block in which a known sentence begins: its letter and the line."""
+    text = normalised(block)
+    for letter, pattern in SENTENCES:  # the first that fits marks the line
+        text = F.regexp_replace(text, line_pattern(letter, pattern), f"\x01{letter}")
+    lines = F.arrays_zip(F.split(text, r"\n").alias("t"), F.split(block, r"\n").alias("s"))
+    return F.transform(F.filter(lines, lambda x: x.t.startswith("\x01")), lambda x: F.struct(F.substring(x.t, 2, 1).alias("id"), x.s.alias("s")))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """Licences that the texts of ``docs`` (doc_id, text; other columns are left out) state.
 
-    Per row: doc_id, n_sentences, n_known (known licence sentences), sentence_ids (their
+    Per row: doc_id, n_sentences (lines, or their parts between sentence marks), n_known (known licence sentences), sentence_ids (their
     letters, in order), licenses (distinct, sorted, joined by commas; a letter S adds its
     sentence's own identifier as SPDX:...) and licensed. A null or empty text has no sentences;
     repeated rows repeat; an empty table gives an empty result."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), BREAK, "$1\n$2")
-    sentences = F.filter(F.split(text, r"\n+"), lambda s: F.trim(s) != "")
-    rows = docs.select("doc_id", sentences.alias("s"))
-    # every sentence counts; only those with a telling word are matched
-    rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.filter(F.transform("s", lambda s: F.struct(sentence_letter(s).alias("id"), s.alias("s"))), lambda x: x.id.isNotNull()).alias("known"))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), BREAK, "$1\n\n$2")
+    count = F.size(F.filter(F.split("text", r"\n+"), lambda s: F.trim(s) != ""))
+    # every line counts; only blocks with a telling word are matched
+    telling = F.filter(F.split("text", r"\n[ \t\r\f]*\n"), lambda b: F.lower(b).rlike(r"licen|copyright|permission|redistribut|warrant|spdx|reserved|unless|neither"))
+    rows = docs.select("doc_id", text.alias("text")).select("doc_id", count.cast("long").alias("n_sentences"), F.flatten(F.transform(telling, known_sentences)).alias("known"))
     ids = F.array_join(F.transform("known", lambda x: x.id), "")
     rows = rows.select("doc_id", "n_sentences", F.size("known").cast("long").alias("n_known"), ids.alias("sentence_ids"), F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("known", lambda x: x.id == "S"), lambda x: F.concat(F.lit("SPDX:"), F.regexp_extract(x.s, r"(?i)identifier[\s:]*(.*?)[\s*/]*$", 1))))), ",").alias("spdx"))
     rest, hits = F.col("sentence_ids"), []
