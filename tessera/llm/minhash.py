@@ -76,7 +76,7 @@ def _sketch(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, m: int, seed: int = 11) -> DataFrame:
-    """Per row: doc_id, n (set size), s1 and s2 (a 128-bit hash of the set), u and v (m tuple hashes each), sketch."""
+    """Per row of docs (doc_id, own, text): doc_id, own, n (set size), s1 and s2 (a 128-bit hash of the set), u and v (m tuple hashes each), sketch."""
     rng = np.random.default_rng(seed)
     flip = rng.integers(0, 1 << 63, 2 * m * ROWS, dtype=np.uint64)
     factor = rng.integers(0, 1 << 63, 2 * m * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -101,11 +101,11 @@ def signatures(docs: DataFrame, width: int, m: int, seed: int = 11) -> DataFrame
                         tuples[t, full] = h
                 pick = lambda rows: pa.array(list(_signed(rows)), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(_signed(sums[0])), pa.array(_signed(sums[1])), pick(tuples[:m].T), pick(tuples[m:].T), pick(_sketch(hashes, ends))],
-                    ["doc_id", "n", "s1", "s2", "u", "v", "sketch"],
+                    [batch.column("doc_id")[lo:hi], batch.column("own")[lo:hi], pa.array(n, pa.int64()), pa.array(_signed(sums[0])), pa.array(_signed(sums[1])), pick(tuples[:m].T), pick(tuples[m:].T), pick(_sketch(hashes, ends))],
+                    ["doc_id", "own", "n", "s1", "s2", "u", "v", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, u array<long>, v array<long>, sketch array<long>")
+    return docs.select("doc_id", "own", "text").mapInArrow(run, "doc_id long, own long, n long, s1 long, s2 long, u array<long>, v array<long>, sketch array<long>")
 
 
 def mix64_fast(x: np.ndarray, factor: np.uint64) -> np.ndarray:
@@ -204,11 +204,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
     with one doc_id count as one document each and share a component if their texts are
     linked; rows without a doc_id are kept, alone and without a component; an empty table
     gives an empty result."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
+    rows = _components_of_rows(docs.select("doc_id", F.col("doc_id").alias("own"), "text"), width, percent, m)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _components_of_rows(docs: DataFrame, width: int, percent: int, m: int) -> DataFrame:
+    """doc_id, n, component_id, first of docs (doc_id, own, text): the component's smallest doc_id, and the doc_id of its row of the smallest own (null last), then doc_id."""
+    arrow_limits(docs.sparkSession)
     sig = stored(signatures(docs, width, m), "signatures")
     of_set = ["n", "s1", "s2"]
-    reps = sig.where("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("u", "v", "sketch")))
+    reps = sig.where("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("own").isNull().alias("none"), "own", "doc_id")).alias("least"), *(F.first(c).alias(c) for c in ("u", "v", "sketch")))
     # a doc_id may stand for several texts: classes get names of their own
     reps = stored(reps.withColumn("cls", F.struct("rep", *of_set)).withColumn("cls", F.xxhash64("cls")), "classes")
 
@@ -262,12 +268,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
         near = components(links)
 
     # components are named by the smallest doc_id in them
-    near = reps.select("cls", "rep", *of_set).join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    named = near.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = near.join(named, "component").select(*of_set, "component_id")
-    rows = sig.select("doc_id", *of_set).join(classes, of_set, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    near = reps.select("cls", "rep", "least", *of_set).join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = near.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("least").getField("doc_id").alias("first"))
+    classes = near.join(named, "component").select(*of_set, "component_id", "first")
+    return sig.select("doc_id", *of_set).join(classes, of_set, "left").select("doc_id", "n", "component_id", "first")
 
 
 def _class_texts(holders: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -290,8 +294,25 @@ def _class_texts(holders: DataFrame, wanted: DataFrame, width: int) -> DataFrame
     return found.dropDuplicates(["rep"])
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of a row's whole content, nulls told apart: equal rows, and only they but for chance, share it."""
+    values = [F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*(F.col(f"`{c}`").isNull() for c in docs.columns), *values)
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int = 12) -> DataFrame:
-    """``docs``, all columns, without the documents that ``near_duplicates`` does not keep."""
-    gone = stored(near_duplicates(docs, width, percent, m).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    kept = docs.select(F.col("doc_id").alias("__gone"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    return matching_rows(kept, gone, "__gone", "left_anti").select("__row.*")
+    """``docs``, all columns, with exactly one row of each component of near-duplicate rows.
+
+    Components are those of ``near_duplicates``, but of rows, whatever their doc_id: the row of
+    the smallest doc_id stays (null last), among several the one of the least hash of the whole
+    row, of equal rows one. Rows whose text has no words all stay."""
+    key = _row_key(docs)
+    found = _components_of_rows(docs.select(key.alias("doc_id"), F.col("doc_id").alias("own"), "text"), width, percent, m)
+    found = stored(found.where("first is not null").select(F.col("doc_id").alias("__key"), (F.col("doc_id") == F.col("first")).alias("kept")), "rows")
+    gone = stored(found.where("not kept").select("__key").distinct(), "gone")
+    twice = stored(found.where("kept").groupBy("__key").count().where("count > 1").select("__key"), "twice")
+    kept = docs.select(key.alias("__key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    left = matching_rows(kept, gone, "__key", "left_anti")
+    if not twice.isEmpty():
+        left = matching_rows(left, twice, "__key", "left_anti").union(matching_rows(left, twice, "__key").dropDuplicates(["__key"]))
+    return left.select("__row.*")
