@@ -59,12 +59,24 @@ def grade(value: Column, warn: Column, bad: Column, higher_is_better: bool = Tru
     return F.when(value.isNull() | warn.isNull() | bad.isNull(), "none").otherwise(level)
 
 
+def _tenths(n: Column, unit: int) -> Column:
+    """n / unit to one place, rounded as printf does: a tie goes where the double n / unit lies, and to the even tenth if that is the tie itself."""
+    rest = n % unit * 10
+    t = F.round((n - n % unit) / unit).cast("long") * 10 + ((rest - rest % unit) / unit).cast("long")
+    over = rest % unit * 2
+    # both differences are exact: the sign of 20 * double - (2 * t + 1)
+    tie = (n / unit * 16 - (t * 2 + 1)) + n / unit * 4
+    up = (over > unit) | (over == unit) & ((tie > 0) | (tie == 0) & (t % 2 == 1))
+    t = t + up.cast("long")
+    return F.concat(((t - t % 10) / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def short_count(n: Column) -> Column:
     """1.2K, 3.4M or 5.6B."""
     return (
-        F.when(n >= 1_000_000_000, F.format_string("%.1fB", n / 1_000_000_000))
-        .when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000))
-        .when(n >= 1000, F.format_string("%.1fK", n / 1000))
+        F.when(n >= 1_000_000_000, F.concat(_tenths(n, 1_000_000_000), F.lit("B")))
+        .when(n >= 1_000_000, F.concat(_tenths(n, 1_000_000), F.lit("M")))
+        .when(n >= 1000, F.concat(_tenths(n, 1000), F.lit("K")))
         .otherwise(n.cast("string"))
     )
 
