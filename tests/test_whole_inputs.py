@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +23,8 @@ def test_short_count_ties_are_as_printf(spark):
 
     got = rows.select("n", text.short_count(F.col("n")).alias("short")).collect()
     assert [(r.n, r.short) for r in got if r.short != want(r.n)] == []
+
+
+def test_best_assignment_takes_all_orders(spark):
+    got = registry.QUERIES["best_assignment"](spark, SF)
+    assert {r.role for r in got.select("role").distinct().collect()} == {"role0", "role1", "role2", "role3"}
