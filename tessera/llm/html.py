@@ -1,17 +1,20 @@
 """HTML extraction: templates deduced from equivalence classes of tokens over same-host pages.
 
-A token is an open tag with its path of tags, ids and classes, or, outside an article
-container, a whole text block with its path. Tokens of one host that have the same occurrence
-vector (how often on each page) form an equivalence class. A class is valid if its tokens
-first come in the same order on all its pages, and it nests if each of its tokens always
-follows the same token of the host's frame, the classes on most of its pages; valid nested
-classes make up the host's template. The blocks that are left after the template's own text and
-boilerplate elements have gone are slots. Article containers (by tag and class) confirm slots:
-a page's main text is what lies in them if that is half of the slots' text or more, and else
-all slots but link lists. Text in containers is no token, so template never removes any.
-
-Occurrence vectors are compared by a sum of hashes over page shapes, so no task ever holds
-the pages of a host, and classes are checked shape by shape."""
+A token is an open tag with its path of tags, ids and classes, or a whole text block with its
+path. Tokens of one host that have the same occurrence vector (how often on each page) form an
+equivalence class. A token stays in its class if it has the same place in the class's order on
+all its pages, and its class nests if each token that stays always follows the same token of
+the host's frame, the classes on most of its pages. Valid nested classes are the host's template.
+
+The template's tags divide a page into slots: a text belongs to the innermost template tag
+around it. How much text each slot holds over all pages of the host tells which slot of a page
+is its article. If that slot lies in an article container (by tag or class), the main text is
+what lies in this container, passages that many pages share included; else it is all slots but
+link lists and the template's own texts. Elements that are boilerplate by tag or class are
+left out of slots. On a page without any template tag nothing is known and all text is kept.
+
+Every page is parsed once. Occurrence vectors are compared by a sum of hashes over page
+shapes, so no task ever holds the pages of a host, and classes are checked shape by shape."""
 
 from __future__ import annotations
 
@@ -51,8 +54,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+)))?")
 _NAMES = re.compile(r"[^a-z]+")
 
-LEAST_PAGES = 3  # pages that a template token is on
-LEAST_SHARE = 0.2  # of the host's pages
+LEAST_PAGES = 3  # pages of a host that a text is on if it is template; tags need but one
+LEAST_SHARE = 0.2  # of the host's pages that a template token is on
 MOST_BROADCAST = 8 << 20  # bytes of templates up to which tasks get them all
 SALTS = 64
 
@@ -62,12 +65,12 @@ def hashed(text: str) -> int:
 
 
 class Block:
-    """A run of text without a block element inside: whole text, characters in links, and where it lies."""
+    """A run of text without a block element inside: whole text, characters in links, where it lies, and after how many tags."""
 
-    __slots__ = ("banned", "main", "path", "text", "linked", "slot")
+    __slots__ = ("banned", "main", "path", "text", "linked", "at")
 
-    def __init__(self, text: str, linked: int, path: str, banned: bool, main: bool, slot: int):
-        self.text, self.linked, self.path, self.banned, self.main, self.slot = text, linked, path, banned, main, slot
+    def __init__(self, text: str, linked: int, path: str, banned: bool, main: bool, at: int = 0):
+        self.text, self.linked, self.path, self.banned, self.main, self.at = text, linked, path, banned, main, at
 
 
 def _kinds(name: str, attributes: str, inside_main: bool) -> tuple[str, bool, bool]:
@@ -90,12 +93,12 @@ def _kinds(name: str, attributes: str, inside_main: bool) -> tuple[str, bool, bo
     return label, banned, main
 
 
-def parse(page: str) -> tuple[list[Block], list[tuple[str, bool]]]:
-    """The text blocks of a page in order, and its tags: path and whether inside an article container.
+def parse(page: str) -> tuple[list[Block], list[str]]:
+    """The text blocks of a page in order, and the paths of its tags.
 
     Unclosed elements end with their parents, stray end tags are left out, a page may end anywhere."""
     blocks: list[Block] = []
-    tags: list[tuple[str, bool]] = []
+    tags: list[str] = []
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, banned, main
     parts: list[str] = []
     linked, links, at, size = 0, 0, 0, len(page)
@@ -161,7 +164,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, bool]]]:
         if name in BLOCK or own_banned != banned and own_banned:
             end_block()
         own = f"{path}/{label}"
-        tags.append((own, main or own_main))
+        tags.append(own)
         if name in VOID:
             continue
         if name in RAW:
@@ -174,23 +177,24 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, bool]]]:
     return blocks, tags
 
 
-def tokens_of(blocks: list[Block], tags: list[tuple[str, bool]]) -> list[int]:
-    """All tokens of a page in order: every tag outside containers and the containers' own, and texts outside containers."""
-    out, b = [], 0
-    for k, (path, main) in enumerate(tags):
-        while b < len(blocks) and blocks[b].slot <= k:
-            if not blocks[b].main:
-                out.append(text_token(blocks[b]))
-            b += 1
-        if not main or not _below_main(path):
-            out.append(hashed(path))
-    out += [text_token(x) for x in blocks[b:] if not x.main]
-    return out
+def tag_token(path: str) -> int:
+    """Even, unlike those of texts."""
+    return hashed(path) & ~1
 
 
-def _below_main(path: str) -> bool:
-    """Whether some element above the last is an article container: what varies inside articles is no template."""
-    return any(_is_main_label(x) for x in path.split("/")[1:-1])
+def text_token(block: Block) -> int:
+    return hashed(f"{block.path}\0{block.text}") | 1
+
+
+def tokens_of(blocks: list[Block], tags: list[str]) -> list[int]:
+    """All tokens of a page in order."""
+    out, b = [], 0
+    for k, path in enumerate(tags):
+        while b < len(blocks) and blocks[b].at <= k:
+            out.append(text_token(blocks[b]))
+            b += 1
+        out.append(tag_token(path))
+    return out + [text_token(x) for x in blocks[b:]]
 
 
 def _is_main_label(label: str) -> bool:
@@ -198,30 +202,41 @@ def _is_main_label(label: str) -> bool:
     return name in ("article", "main") or name in ("div", "section") and bool(set(re.split(r"[.-]", words)) & MAIN_WORDS)
 
 
-def text_token(block: Block) -> int:
-    return hashed(f"{block.path}\0{block.text}")
+def container_of(block: Block) -> str:
+    """The path of the article container that a block lies in: the innermost article element, or else the outermost container; empty if none."""
+    if not block.main:
+        return ""
+    labels = block.path.split("/")
+    articles = [k for k, x in enumerate(labels) if x.partition(".")[0] == "article"]
+    others = [k for k, x in enumerate(labels) if _is_main_label(x)]
+    return "/".join(labels[: (articles[-1:] or others[:1])[0] + 1]) if articles or others else ""
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _shapes(pages: DataFrame) -> DataFrame:
-    """host, tokens (in order of their first places), counts, pages: one row per distinct shape."""
+#: Columns of a parsed page: its distinct tokens in order of their first places, how often each comes, and its blocks.
+PARSED = {"tokens": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()), "texts": pa.list_(pa.string()), "paths": pa.list_(pa.string()), "linked": pa.list_(pa.int64()), "banned": pa.list_(pa.bool_()), "main": pa.list_(pa.bool_())}
+BLOCKS = ["texts", "linked", "paths", "banned", "main"]
+
+
+def _parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host and the columns ``PARSED`` of pages (page_id, url, host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, counts = [], []
-            for page in batch.column("html").to_pylist():
+            cols: list[list] = [[] for _ in PARSED]
+            for page in batch.column("html"):
+                blocks, tags = parse(page.as_py() or "")
                 seen: dict[int, int] = {}
-                for t in tokens_of(*parse(page or "")):
+                for t in tokens_of(blocks, tags):
                     seen[t] = seen.get(t, 0) + 1
-                tokens.append(list(seen))
-                counts.append(list(seen.values()))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["host", "tokens", "counts"])
+                for col, value in zip(cols, (list(seen), list(seen.values()), *([getattr(b, x) for b in blocks] for x in ("text", "path", "linked", "banned", "main"))), strict=True):
+                    col.append(value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *(pa.array(c, t) for c, t in zip(cols, PARSED.values(), strict=True))], ["page_id", "url", "host", *PARSED])
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, tokens array<long>, counts array<long>")
-    return rows.groupBy("host", "tokens", "counts").agg(F.count("*").alias("pages"))
+    return pages.mapInArrow(run, "page_id long, url string, host string, tokens array<long>, counts array<long>, texts array<string>, paths array<string>, linked array<long>, banned array<boolean>, main array<boolean>")
 
 
 def _with_host(rows: DataFrame, by_host: DataFrame, size: Column) -> DataFrame:
@@ -232,16 +247,15 @@ def _with_host(rows: DataFrame, by_host: DataFrame, size: Column) -> DataFrame:
     return rows.withColumn("__salt", (F.rand(5) * SALTS).cast("int")).join(copies, ["host", "__salt"], "left").drop("__salt")
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, token, cls, place (order inside the class), parent (the frame's class that it follows, or null), gap (after which place).
-
-    pages: url, html. A row per token of a valid nested class."""
-    shapes = stored(_shapes(pages).withColumn("shape", F.xxhash64("host", "tokens", "counts")), "shapes")
+def templates(parsed: DataFrame) -> DataFrame:
+    """host, token: the tokens of valid nested classes. parsed: host, tokens, counts."""
+    shapes = parsed.groupBy("host", "tokens", "counts").agg(F.count("*").alias("pages"))
+    shapes = stored(shapes.withColumn("shape", F.xxhash64("host", "tokens", "counts")), "shapes")
     hosts = shapes.groupBy("host").agg(F.sum("pages").alias("host_pages"))
     spread = shapes.select("host", "shape", "pages", F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
     part = F.xxhash64("shape", "x.counts").cast("decimal(20,0)")
     vectors = spread.groupBy("host", F.col("x.tokens").alias("token")).agg(F.sum(part).alias("vector"), F.sum("pages").alias("support"))
-    vectors = vectors.join(hosts, "host").where((F.col("support") >= LEAST_PAGES) & (F.col("support") >= F.col("host_pages") * LEAST_SHARE))
+    vectors = vectors.join(hosts, "host").where(((F.col("support") >= LEAST_PAGES) | (F.col("token") % 2 == 0)) & (F.col("support") >= F.col("host_pages") * LEAST_SHARE))
     # the frame: tokens on most pages of the host; other classes nest in its gaps
     most = vectors.groupBy("host").agg(F.max("support").alias("most"))
     named = vectors.groupBy("host", "vector", "support").agg(F.collect_list("token").alias("tokens"), F.min("token").alias("cls")).join(most, "host")
@@ -273,11 +287,29 @@ def templates(pages: DataFrame) -> DataFrame:
 
     placed = _with_host(shapes.select("host", "tokens"), frequent, F.size("known") * 17 + 64)
     seen = placed.mapInArrow(run, "host string, cls long, ordered array<long>, parents array<long>, gaps array<long>")
-    lies = F.when(F.col("gaps").isNotNull(), F.struct("parents", "gaps"))
-    valid = seen.groupBy("host", "cls").agg(F.min("ordered").alias("ordered"), F.max("ordered").alias("other"), F.min(lies).alias("least"), F.max(lies).alias("most"))
     # pages without the frame say nothing about nesting
-    valid = valid.where("ordered = other and (least is null or least = most)").select("host", "cls", "least", F.posexplode("ordered").alias("place", "token"))
-    return valid.select("host", "place", "token", "cls", F.expr("nullif(least.parents[place], 0)").alias("parent"), F.expr("least.gaps[place]").alias("gap"))
+    lies = F.when(F.col("gaps").isNotNull(), F.struct(F.col("parents")[F.col("place")].alias("parent"), F.col("gaps")[F.col("place")].alias("gap")))
+    tokens = seen.select("host", "cls", "parents", "gaps", F.posexplode("ordered").alias("place", "token")).select("host", "cls", "place", "token", lies.alias("lies"))
+    tokens = tokens.groupBy("host", "cls", "token").agg((F.min("place") == F.max("place")).alias("in_place"), F.coalesce(F.min("lies") == F.max("lies"), F.lit(True)).alias("nests"))
+    nested = tokens.where("in_place").groupBy("host", "cls").agg(F.min("nests").alias("nests"), F.collect_list("token").alias("tokens")).where("nests")
+    return nested.select("host", F.explode("tokens").alias("token"))
+
+
+def slot_of(path: str, template: set[int]) -> str:
+    """The path of the innermost template tag around a block; empty if none."""
+    while path and tag_token(path) not in template:
+        path = path.rpartition("/")[0]
+    return path
+
+
+def slot_mass(blocks: list[Block], template: set[int]) -> dict[str, int]:
+    """Characters outside links, less those inside, by slot; blocks in boilerplate elements have none."""
+    out: dict[str, int] = {}
+    for b in blocks:
+        if not b.banned:
+            slot = slot_of(b.path, template)
+            out[slot] = out.get(slot, 0) + len(b.text) - 2 * b.linked
+    return out
 
 
 def _without_link_lists(blocks: list[Block]) -> list[Block]:
@@ -290,36 +322,77 @@ def _without_link_lists(blocks: list[Block]) -> list[Block]:
     return out
 
 
-def main_blocks(blocks: list[Block], template: set[int]) -> list[str]:
-    """The texts of the slots that make up the article: those in containers if these hold half of the slots' text or more."""
-    slots = [b for b in blocks if not b.banned and (b.main or text_token(b) not in template)]
-    inside, left = [b for b in slots if b.main], _without_link_lists(slots)
-    if inside and 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in left):
-        return [b.text for b in inside]
-    return [b.text for b in left]
+def main_blocks(blocks: list[Block], template: set[int], mass: dict[int, int]) -> list[str]:
+    """The texts that make up a page's article. mass: the host's text by slot (its tag token)."""
+    if not any(slot_of(b.path, template) for b in blocks):
+        return [b.text for b in blocks]
+    slots = [b for b in blocks if not b.banned]
+    own = slot_mass(blocks, template)
+    if not own:
+        return []
+    # the page's own text settles ties between slots
+    best = max(own, key=lambda x: (mass.get(tag_token(x), 0), own[x], x))
+    weight: dict[str, int] = {}
+    for b in slots:
+        if slot_of(b.path, template) == best:
+            weight[container_of(b)] = weight.get(container_of(b), 0) + len(b.text)
+    container = max(weight, key=lambda x: (weight[x], x))
+    if container:
+        return [b.text for b in slots if b.path == container or b.path.startswith(container + "/")]
+    return [b.text for b in _without_link_lists([b for b in slots if text_token(b) not in template])]
+
+
+def _per_host(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[list[Block], list]]:
+    """The blocks of each page of a batch, and its host's values of ``columns``, decoded once a host."""
+    held: dict[str, list] = {}
+    for k, host in enumerate(batch.column("host").to_pylist()):
+        if host not in held:
+            held[host] = [batch.column(c)[k].as_py() or [] for c in columns]
+        texts, linked, paths, banned, main = (batch.column(c)[k].as_py() for c in BLOCKS)
+        yield [Block(*x) for x in zip(texts, linked, paths, banned, main, strict=True)], held[host]
+
+
+def _host_mass(parsed: DataFrame) -> DataFrame:
+    """host, slot (tag token), mass: text by slot over all pages of a host. parsed: host, blocks, template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: dict[tuple[str, int], int] = {}
+            sets: dict[str, set[int]] = {}
+            for host, (blocks, (template,)) in zip(batch.column("host").to_pylist(), _per_host(batch, "template"), strict=True):
+                for slot, n in slot_mass(blocks, sets.setdefault(host, set(template))).items():
+                    total[host, tag_token(slot)] = total.get((host, tag_token(slot)), 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["host", "slot", "mass"])
+
+    return parsed.mapInArrow(run, "host string, slot long, mass long").groupBy("host", "slot").agg(F.sum("mass").alias("mass"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """The main text of every page of ``pages`` (page_id, url, html; other columns are left out).
 
     page_id, url, text (blocks joined by a line feed; empty if there are none) and n_chars.
-    Slots are the blocks that are neither in boilerplate elements nor texts of the host's
-    template. If article containers hold half of the slots' text or more, they are the main
-    text; else it is all slots but runs of blocks that are mostly links. A host with fewer
-    than 3 pages has no template. Null html is empty, a null url is a host of its own, repeated
-    rows repeat, an empty table gives an empty result."""
-    spark = pages.sparkSession
-    arrow_limits(spark)
-    pages = pages.select("page_id", "url", "html")
-    by_host = templates(pages).groupBy("host").agg(F.collect_set("token").alias("template"))
-    by_host = stored(by_host, "templates")
+    The host's template, of however few pages, names the slots of a page; the slot that holds
+    most of the host's text names the article. A text is template only if it is on
+    ``LEAST_PAGES`` pages, and a token only if it is on ``LEAST_SHARE`` of the host's pages.
+    Null html is empty, a null url is a host of its own, repeated rows repeat, an empty table
+    gives an empty result."""
+    arrow_limits(pages.sparkSession)
+    parsed = stored(_parsed(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")), "parsed")
+    by_host = stored(templates(parsed).groupBy("host").agg(F.collect_set("token").alias("template")), "templates")
+    size = F.size("template") * 8 + 64
+    mass = _host_mass(_with_host(parsed.select("host", *BLOCKS), by_host, size).select("host", *BLOCKS, "template"))
+    # a row per host: slots are tags of its template
+    mass = mass.groupBy("host").agg(F.collect_list("slot").alias("slots"), F.collect_list("mass").alias("masses"))
+    by_host = stored(by_host.join(mass, "host", "full"), "hosts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
-                texts.append("\n".join(main_blocks(parse(page or "")[0], set(template or ()))))
+            texts, sets = [], {}
+            for host, (blocks, (template, slots, masses)) in zip(batch.column("host").to_pylist(), _per_host(batch, "template", "slots", "masses"), strict=True):
+                if host not in sets:
+                    sets[host] = set(template), dict(zip(slots, masses, strict=True))
+                texts.append("\n".join(main_blocks(blocks, *sets[host])))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
 
-    rows = _with_host(pages.withColumn("host", host_of(F.col("url"))), by_host, F.size("template") * 8 + 64)
-    return rows.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = _with_host(parsed.select("page_id", "url", "host", *BLOCKS), by_host, (F.size("template") + 2 * F.size("slots")) * 8 + 64)
+    return rows.select("page_id", "url", "host", *BLOCKS, "template", "slots", "masses").mapInArrow(run, "page_id long, url string, text string, n_chars long")
