@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,30 +20,23 @@ MOST_PARTITIONS = 1 << 16
 
 
 def _hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """Good ones among ``draws`` of good + bad without replacement, by inversion from the mode outwards."""
-    from math import exp, lgamma
+    """Good ones among ``draws`` of good + bad without replacement, by inversion.
 
+    Weights are relative to the mode's, by their ratios from one value to the next, so that no
+    large logarithms cancel; those over 14 standard deviations away are below 1e-40."""
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
-    mode = min(max((draws + 1) * (good + 1) // (good + bad + 2), low), high)
-    log_choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
-    p = exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
-    u, left, right, p_left, p_right = rng.random() - p, mode, mode, p, p
-    while u > 0 and (left > low or right < high):
-        if right < high:
-            p_right *= (good - right) * (draws - right) / ((right + 1) * (bad - draws + right + 1))
-            right += 1
-            u -= p_right
-            if u <= 0:
-                return right
-        if left > low:
-            p_left *= left * (bad - draws + left) / ((good - left + 1) * (draws - left + 1))
-            left -= 1
-            u -= p_left
-            if u <= 0:
-                return left
-    return mode
+    total = good + bad
+    mode = min(max((draws + 1) * (good + 1) // (total + 2), low), high)
+    reach = int(14 * (draws * (good / total) * (bad / total) * (total - draws) / (total - 1)) ** 0.5) + 64
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    up = (good - k) * (draws - k) / ((k + 1) * (bad - draws + k + 1))  # from k to k + 1
+    at = mode - low
+    weights = np.concatenate([np.cumprod(1 / up[:at][::-1])[::-1], [1.0], np.cumprod(up[at:])])
+    sums = np.cumsum(weights)
+    return low + int(min(np.searchsorted(sums, rng.random() * sums[-1], "right"), len(sums) - 1))
 
 
 def communication_matrix(rows: list[int], shards: int, seed: int) -> list[list[int]]:
@@ -65,16 +59,16 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> list[list[i
 def shard_uniformly(rows: DataFrame, identity: list[str], shards: int = 24, seed: int = 7, bucket_rows: int = 1 << 20) -> DataFrame:
     """``rows`` with __shard (int, 0 to shards - 1) and __slot (long, gapless from 0 in each shard).
 
-    ``identity``: columns that the random order is derived from; equal or null ones are told
-    apart by their place in their partition. The rows with their places are kept in the
+    ``identity``: columns that, with a row's place in its partition, the random order is
+    derived from: equal rows are dealt independently. The rows with their places are kept in the
     shared folder, so that the counts and the dealing see the same partitions even if a task
     runs twice. The driver draws (partitions x shards) counts, for at most 65,536 partitions;
     more are joined first. Rows of a shard are ordered in buckets of about ``bucket_rows``,
     so no shard is a single task. An empty table gives an empty result."""
     spark = rows.sparkSession
     # the local permutation
-    rows = rows.coalesce(MOST_PARTITIONS).withColumn("__key", F.xxhash64(F.lit(seed), *identity)).sortWithinPartitions("__key")
     place = F.monotonically_increasing_id()
+    rows = rows.coalesce(MOST_PARTITIONS).withColumn("__key", F.xxhash64(F.lit(seed), place, *identity)).sortWithinPartitions("__key")
     rows = stored(rows.withColumn("__place", place).drop("__key"), "shard-places")
     rows = rows.withColumn("__part", F.shiftright("__place", 33)).withColumn("__rank", F.col("__place").bitwiseAND((1 << 33) - 1))
     counts = sorted((r["__part"], r["count"]) for r in rows.groupBy("__part").count().collect())
