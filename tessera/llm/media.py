@@ -82,6 +82,8 @@ def decode_bmp(blob: bytes) -> np.ndarray:
         raw = raw[::-1]
     if bits == 8:
         colours = np.frombuffer(blob, np.uint8, 4 * (u32(46) or 256), 14 + head).reshape(-1, 4)
+        if raw[:, :width].max() >= len(colours):
+            raise ValueError("BMP pixel outside its palette")
         return colours[raw[:, :width]][:, :, 2::-1].copy()
     return raw[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1].copy()
 

@@ -66,3 +66,11 @@ def test_tiles_and_errors(spark):
     one = [r for r in got if r.id == 1]
     assert len({(bytes(r.tile), r.feature) for r in one}) == 1 and one[0].feature == "f" * 16
     assert media.from_npy(bytes(one[0].tile)).shape == (8, 8)
+
+
+def test_a_pixel_outside_its_palette_is_an_error_of_its_row(spark):
+    head = lambda n: n.to_bytes(4, "little")
+    bmp = lambda pixel: b"BM" + head(0) + head(0) + head(54 + 8) + head(40) + head(1) + head(1) + b"\1\0\x08\0" + head(0) * 4 + head(2) + head(0) + bytes(8) + bytes([pixel, 0, 0, 0])
+    rows = spark.createDataFrame([(1, bytearray(bmp(1))), (2, bytearray(bmp(7)))], "k long, m binary")
+    got = {r.k: r.error for r in media.media_tiles(rows, "k", "m", 4).collect()}
+    assert got == {1: None, 2: "BMP pixel outside its palette"}
