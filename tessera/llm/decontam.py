@@ -1,15 +1,15 @@
 """Benchmark decontamination by winnowing.
 
-A winnowed text keeps the least 5-gram hash of every 6 consecutive 5-grams. Two texts that
-share 10 words share such a window and so its fingerprint: no shared span of 10 words can be
-missed. Documents and benchmark items are joined on fingerprints; the candidate items of each
-text are then extended on the words themselves, window by window. Items of fewer than 10
-words are one window each, and their fingerprint is the hash of all their words."""
+A winnowed text keeps the least 5-gram hash of every 6 consecutive 5-grams: the fingerprint of
+a window of 10 words. Two texts that share 10 words share such a window and so its
+fingerprint: no shared span of 10 words can be missed. Documents and benchmark items are
+joined on fingerprints; where a fingerprint hits, the document's windows around it are
+extended to 10 words and joined with the items' windows. Items of fewer than 10 words are one
+window each, and their fingerprint is the hash of all their words. What a document gathers
+is a subset of its own windows, and the ids of the items that have them."""
 
 from __future__ import annotations
 
-import functools
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,52 +43,77 @@ def grams(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray,
     return RangeHash(words).of(at, at + width), ends
 
 
-def winnow(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and the text each is of; texts under ``window`` words have none."""
+def window_marks(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every run of ``window`` words of the texts: its fingerprint, its first word, and the text's number."""
     hashes, ends = grams(words, first, GRAM)
     span = window - GRAM + 1
-    if len(hashes) < span:
-        return hashes[:0], ends[:0]
-    least = np.lib.stride_tricks.sliding_window_view(hashes, span).argmin(axis=1) + np.arange(len(hashes) - span + 1)
-    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    inside = owner[: len(hashes) - span + 1] == owner[span - 1 :]
-    at = np.unique(least[inside])
-    return hashes[at], owner[at]
+    many = np.maximum(np.diff(first) - window + 1, 0)
+    owner = np.repeat(np.arange(len(many)), many)
+    inside = np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
+    if not len(owner):
+        return hashes[:0], inside, owner
+    least = np.lib.stride_tricks.sliding_window_view(hashes, span).min(axis=1)
+    return least[ends[:-1][owner] + inside], first[:-1][owner] + inside, owner
 
 
-def fingerprints(rows: DataFrame, key: str, window: int, short: list[int], whole: bool, held: np.ndarray | None = None) -> DataFrame:
-    """key, fp. whole: short texts give the hash of all their words (items); else every run of the ``short`` lengths (documents)."""
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """item_id, width, hash, fp: the windows of the items (item_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = utf8(batch.column("text"))
             for lo, hi in slices(batch, bounds):
                 words, first = word_hashes(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                found = [winnow(words, first, window)]
+                fp, at, owner = window_marks(words, first, window)
                 n = np.diff(first)
-                if whole:
-                    few = np.flatnonzero((n > 0) & (n < window))
-                    found.append((RangeHash(words).of(first[few], first[few + 1]), few))
-                else:
-                    for width in short:
-                        hashes, ends = grams(words, first, width)
-                        found.append((hashes, np.repeat(np.arange(hi - lo), np.diff(ends))))
-                fp, owner = (np.concatenate(x) for x in zip(*found, strict=True))
-                if held is not None:
-                    near = np.minimum(np.searchsorted(held, fp), max(len(held) - 1, 0))
-                    there = held[near] == fp if len(held) else np.zeros(len(fp), bool)
-                    fp, owner = fp[there], owner[there]
-                yield pa.RecordBatch.from_arrays([batch.column(key)[lo:hi].take(pa.array(owner)), pa.array(fp.view(np.int64))], [key, "fp"])
+                few = np.flatnonzero((n > 0) & (n < window))
+                short = RangeHash(words).of(first[few], first[few + 1])
+                owner, width = np.concatenate([owner, few]), np.concatenate([np.full(len(owner), window), n[few]])
+                hashes = np.concatenate([RangeHash(words).of(at, at + window), short])
+                cols = [batch.column("item_id")[lo:hi].take(pa.array(owner)), pa.array(width.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (hashes, np.concatenate([fp, short])))]
+                yield pa.RecordBatch.from_arrays(cols, ["item_id", "width", "hash", "fp"])
+
+    return items.mapInArrow(run, "item_id string, width long, hash long, fp long")
 
-    return rows.select(key, "text").mapInArrow(run, f"{key} long, fp long")
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
-@functools.lru_cache(maxsize=4096)
-def _item_windows(text: str, window: int) -> tuple[int, np.ndarray]:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    words, first = word_hashes(raw, np.array([0, len(raw)]))
-    width = min(window, len(words))
-    return width, np.unique(grams(words, first, width)[0]) if width else words[:0]
+
+def _document_windows(texts: DataFrame, window: int, short: list[int], known: np.ndarray | None, what: str) -> DataFrame:
+    """text_key and, without repeats inside a text, each fingerprint (what: "fp") or the hash of each window whose fingerprint is known ("hash").
+
+    known: fingerprints; if None, those in the column fps of each row count. Texts of any length also give their runs of the ``short`` lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = utf8(batch.column("text"))
+            for lo, hi in slices(batch, bounds):
+                words, first = word_hashes(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                allowed = known
+                if known is None and what == "hash":
+                    allowed = np.unique(batch.column("fps")[lo:hi].flatten().to_numpy().view(np.uint64))
+                fp, at, owner = window_marks(words, first, window)
+                if what == "hash":
+                    hit = _among(fp, allowed)
+                    at, owner = at[hit], owner[hit]
+                    fp = RangeHash(words).of(at, at + window)
+                found = [(fp, owner)]
+                for width in short:
+                    hashes, ends = grams(words, first, width)
+                    hit = np.ones(len(hashes), bool) if what == "fp" else _among(hashes, allowed)
+                    found.append((hashes[hit], np.repeat(np.arange(hi - lo), np.diff(ends))[hit]))
+                fp, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+                by = np.lexsort((fp, owner))
+                fp, owner = fp[by], owner[by]
+                new = np.ones(len(fp), bool)
+                new[1:] = (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column("text_key")[lo:hi].take(pa.array(owner[new])), pa.array(fp[new].view(np.int64))], ["text_key", what])
+
+    return texts.mapInArrow(run, f"text_key long, {what} long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -103,49 +128,49 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     empty string; repeated rows of either table change nothing; without items nothing is hit."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = stored(items, "items")
-    marks = stored(fingerprints(items, "item", window, [], True).distinct(), "item-marks")
-    count = lambda t: F.size(F.regexp_extract_all(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0))
-    lengths = items.select(count(F.col("text")).alias("n")).where(f"n > 0 and n < {window}").distinct()
-    short = sorted(r["n"] for r in lengths.collect())  # below the window: a few numbers
-    held = None
-    if marks.count() <= MOST_HELD:
-        held = np.unique(np.array([r["fp"] for r in marks.select("fp").distinct().toLocalIterator()], np.int64).view(np.uint64))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    windows = stored(_item_windows(items, window).distinct(), "item-windows")
+    short = sorted(r["width"] for r in windows.where(F.col("width") < window).select("width").distinct().collect())  # a few numbers
+    marks = stored(windows.select("fp").distinct(), "item-marks")
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    hits = fingerprints(texts, "text_key", window, short, False, held).distinct().join(marks, "fp").select("text_key", "item").distinct()
-    likely = hits.join(items, "item").groupBy("text_key").agg(F.collect_set(F.struct("item_id", F.col("text").alias("item_text"))).alias("items"))
-    likely = stored(likely, "likely")
-    size = likely.agg(F.sum(F.expr("aggregate(items, 32L, (n, i) -> n + 32 + octet_length(i.item_text))"))).first()[0] or 0
-    rows = texts.join(F.broadcast(likely) if size <= MOST_BROADCAST else likely, "text_key", "left").select("doc_id", "text", "items")
+    if marks.count() <= MOST_HELD:
+        known = np.unique(np.array([r["fp"] for r in marks.toLocalIterator()], np.int64).view(np.uint64))
+        own = _document_windows(texts.select("text_key", "text"), window, short, known, "hash")
+    else:
+        hits = _document_windows(texts.select("text_key", "text"), window, short, None, "fp").distinct().join(marks, "fp")
+        fps = stored(hits.groupBy("text_key").agg(F.collect_set("fp").alias("fps")), "hit-marks")
+        own = _document_windows(texts.select("text_key", "text").join(fps, "text_key"), window, short, None, "hash")
+    hits = stored(own.distinct().join(windows.select("width", "hash").distinct(), "hash"), "hit-windows")
+    ids = hits.join(windows.select("hash", "item_id"), "hash").select("text_key", "item_id").distinct().groupBy("text_key").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    ids = ids.select("text_key", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    # both lists are of the text's own distinct windows, at most
+    likely = stored(hits.groupBy("text_key").agg(F.collect_list("width").alias("widths"), F.collect_list("hash").alias("hashes")).join(ids, "text_key"), "likely")
+    size = likely.agg(F.sum(16 * F.size("hashes") + 128)).first()[0] or 0
+    rows = texts.join(F.broadcast(likely) if size <= MOST_BROADCAST else likely, "text_key", "left")
+    rows = rows.select("doc_id", "text", "widths", "hashes", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = utf8(batch.column("text"))
             for lo, hi in slices(batch, bounds):
-                words, first = word_hashes(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                hit, found = [0] * (hi - lo), [""] * (hi - lo)
-                n_items = [0] * (hi - lo)
-                for k, candidates in enumerate(batch.column("items")[lo:hi].to_pylist()):
-                    if candidates:
-                        own = words[first[k] : first[k + 1]]
-                        runs, marked, ids = {}, np.zeros(len(own) + 1, np.int64), set()
-                        for item in candidates:
-                            width, windows = _item_windows(item["item_text"], window)
-                            if width not in runs:
-                                runs[width] = grams(own, np.array([0, len(own)]), width)[0]
-                            at = np.flatnonzero(np.isin(runs[width], windows))
-                            if len(at):
-                                ids.add(item["item_id"])
-                                np.add.at(marked, at, 1)
-                                np.add.at(marked, at + width, -1)
-                        hit[k], n_items[k], found[k] = int((np.cumsum(marked) > 0).sum()), len(ids), ",".join(sorted(ids))
-                sha = [hashlib.sha256(x.encode()).hexdigest() for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(np.diff(first), pa.int64()), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit])],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
+                low = ascii_lower(data[bounds[lo] : bounds[hi]])
+                start, end, first = words_of(low, bounds[lo : hi + 1] - bounds[lo], WORD)
+                hit, bytes_hash = [0] * (hi - lo), None
+                for k, hashes in enumerate(batch.column("hashes")[lo:hi]):
+                    if hashes.is_valid:
+                        bytes_hash = bytes_hash or RangeHash(low)
+                        words = bytes_hash.of(start[first[k] : first[k + 1]], end[first[k] : first[k + 1]])
+                        widths, known = np.array(batch.column("widths")[lo + k].as_py()), np.array(hashes.as_py(), np.int64).view(np.uint64)
+                        marked = np.zeros(len(words) + 1, np.int64)
+                        for width in np.unique(widths).tolist():
+                            own = grams(words, np.array([0, len(words)]), width)[0]
+                            at = np.flatnonzero(_among(own, np.unique(known[widths == width])))
+                            np.add.at(marked, at, 1)
+                            np.add.at(marked, at + width, -1)
+                        hit[k] = int((np.cumsum(marked) > 0).sum())
+                cols = [batch.column("doc_id")[lo:hi], pa.array(np.diff(first), pa.int64()), pa.array(hit, pa.int64()), *(batch.column(c)[lo:hi] for c in ("n_items", "items_sha256")), pa.array([h > 0 for h in hit])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 

@@ -9,6 +9,7 @@ labelled documents, then one temperature is fitted on a part of that sample left
 from __future__ import annotations
 
 import dataclasses
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from tessera.llm.common import arrow_limits, mix64, slices, stored, utf8
 BUCKETS = 1 << 15
 SCALE = 100.0  # of relative frequencies
 UNKNOWN = "und"
+MOST_LANGUAGES = 4096
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -110,71 +112,88 @@ def train_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epo
     return w[:-1], w[-1]
 
 
-def _sparse(docs: DataFrame, schema: str, whole: bool) -> DataFrame:
-    """Bucket counts: by row (lang, part, bucket[], n[]), or of documents per task and bucket."""
+def _frequencies(rows: DataFrame) -> DataFrame:
+    """lang, bucket, n of rows (text, lang), added up by task: of bucket -1 the rows of a lang; of others, with a null lang, the documents that have it. Bucket -2: the documents with a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(BUCKETS, np.int64), 0
+        seen, total, counts = np.zeros(BUCKETS, np.int64), 0, Counter()
         for batch in batches:
+            counts.update(batch.column("lang").to_pylist())
             data, bounds = utf8(batch.column("text"))
             for lo, hi in slices(batch, bounds):
                 grams, has = features(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
-                own = [[bucket[ends[k] : ends[k + 1]] for bucket, ends in grams] for k in range(hi - lo)]
-                if whole:
-                    for parts in own:
-                        mark = np.zeros(BUCKETS, bool)
-                        for part in parts:
-                            mark[part] = True
-                        seen += mark
-                    total += int(has.sum())
-                    continue
-                parts = [np.unique(np.concatenate(x), return_counts=True) for x in own]
+                for k in range(hi - lo):
+                    mark = np.zeros(BUCKETS, bool)
+                    for bucket, ends in grams:
+                        mark[bucket[ends[k] : ends[k + 1]]] = True
+                    seen += mark
+                total += int(has.sum())
+        at = np.flatnonzero(seen)
+        langs = [*counts, *[None] * (1 + len(at))]
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([-1] * len(counts) + [-2, *at.tolist()], pa.int64()), pa.array([*counts.values(), total, *seen[at].tolist()], pa.int64())], ["lang", "bucket", "n"])
+
+    return rows.select("text", "lang").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def _sparse(rows: DataFrame) -> DataFrame:
+    """lang, aside, bucket[], n[]: bucket counts of rows (text, lang, aside)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = utf8(batch.column("text"))
+            for lo, hi in slices(batch, bounds):
+                grams, _ = features(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                parts = [np.unique(np.concatenate([bucket[ends[k] : ends[k + 1]] for bucket, ends in grams]), return_counts=True) for k in range(hi - lo)]
                 cols = [pa.array([p[k] for p in parts], pa.list_(pa.int64())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column("lang")[lo:hi], batch.column("aside")[lo:hi], *cols], ["lang", "aside", "bucket", "n"])
-        if whole:
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([total, *seen[at].tolist()], pa.int64())], ["bucket", "n"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.select("text", "lang", "aside").mapInArrow(run, "lang string, aside boolean, bucket array<long>, n array<long>")
 
 
 def fit_languages(labelled: DataFrame, per_language: int = 1000) -> LanguageModel:
-    """A model from rows (doc_id, text, lang) with a language; all of them may be learned from.
+    """A model from rows (text, lang) with a language; all of them may be learned from.
 
     Document frequencies come from all rows. The weights are fitted on a sample of about
-    ``per_language`` rows of each language, chosen by a hash of doc_id, so a few thousand rows
-    reach the driver whatever the input. Rows with null text or lang are left out; without
-    rows the model knows no language."""
-    spark = labelled.sparkSession
-    arrow_limits(spark)
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    ``per_language`` texts of each language, chosen by a hash of the text (equal texts count
+    once), so a few thousand rows reach the driver whatever the input. Rows with null text or
+    lang are left out; without rows the model knows no language; over ``MOST_LANGUAGES``
+    different values of lang raise a ValueError."""
+    arrow_limits(labelled.sparkSession)
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
+    frequency = _frequencies(rows).limit(MOST_LANGUAGES + BUCKETS + 2).collect()
+    counts = {r["lang"]: r["n"] for r in frequency if r["bucket"] == -1}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError("too many languages")
     languages = sorted(counts)
-    frequency = _sparse(rows.select("text"), "bucket long, n long", True).groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
-    seen = {r["bucket"]: r["n"] for r in frequency}
-    total = seen.pop(-1, 0)
+    seen = {r["bucket"]: r["n"] for r in frequency if r["bucket"] != -1}
+    total = seen.pop(-2, 0)
     idf = np.full(BUCKETS, np.log(total + 1.0) + 1.0)
     for b, n in seen.items():
         idf[b] = np.log((total + 1.0) / (n + 1.0)) + 1.0
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1_000_000, 1_000_000 * per_language // counts[lang]))))
-    sample = rows.where(draw < F.element_at(share, F.col("lang"))).select("text", "lang", (F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(5)) == 0).alias("aside"))
-    sample = stored(_sparse(sample, "lang string, aside boolean, bucket array<long>, n array<long>", False), "language-sample")
+    hashed = F.xxhash64(F.lit("sample"), "text")
+    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / counts[lang]))))
+    sample = rows.withColumn("draw", hashed).where(F.col("draw") / 2.0**64 + 0.5 < F.element_at(share, F.col("lang")))
+    sample = sample.dropDuplicates(["lang", "draw"]).select("text", "lang", (F.pmod(F.xxhash64(F.lit("aside"), "text"), F.lit(5)) == 0).alias("aside"))
+    sample = stored(_sparse(sample), "language-sample")
     fit, aside = [], []
     for r in sample.orderBy(F.xxhash64("lang", "bucket", "n")).toLocalIterator():
         k, n = np.array(r["bucket"], np.int64), np.array(r["n"], np.float64)
         if len(k):
             (aside if r["aside"] else fit).append((languages.index(r["lang"]), k, n / n.sum() * idf[k] * SCALE))
     weights, bias = train_ftrl(fit or aside, len(languages))
-    logits = [(y, x @ weights[k] + bias) for y, k, x in aside or fit]
+    temperature = fit_temperature([(y, x @ weights[k] + bias) for y, k, x in aside or fit])
+    return LanguageModel(languages, (idf[:, None] * weights * SCALE).astype(np.float32), bias, temperature)
+
+
+def fit_temperature(logits: list[tuple[int, np.ndarray]]) -> float:
+    """The temperature of least log loss over (class, logits), among 121 from 0.25 to 20."""
 
     def loss(t: float) -> float:
         return sum(np.log(np.exp((v - v.max()) / t).sum()) - (v[y] - v.max()) / t for y, v in logits)
 
-    temperature = min(np.geomspace(0.25, 20, 121), key=loss) if logits else 1.0
-    return LanguageModel(languages, (idf[:, None] * weights * SCALE).astype(np.float32), bias, float(temperature))
+    return float(min(np.geomspace(0.25, 20, 121), key=loss)) if logits else 1.0
 
 
 def predicted(model: LanguageModel, text: Column) -> Column:

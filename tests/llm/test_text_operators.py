@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+from tessera.llm import decontam
 from tessera.llm.decontam import contamination, drop_contaminated
 from tessera.llm.html import extract_text, parse
 from tessera.llm.langid import features, fit_languages, identify_languages, keep_identified
@@ -61,6 +62,21 @@ def test_contamination_by_random_texts(spark):
     assert sorted(tuple(r) for r in got) == sorted((i, *brute_contamination(t, items)) for i, t in docs)
 
 
+def test_contamination_with_more_items_than_tasks_hold(spark, docs, rows, monkeypatch):
+    """The other plan for many items gives the same; a stem that many items share gathers ids, no texts."""
+    items = items_for(rows)
+    stem = " ".join(rows[6][1].split()[:14])
+    items += [(100 + k, f"{stem} choice {k} of many ends here") for k in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (r.doc_id if r.doc_id is not None else -1, *tuple(r)[1:])
+    one = sorted(key(r) for r in contamination(docs, bench).collect())
+    monkeypatch.setattr(decontam, "MOST_HELD", 0)
+    monkeypatch.setattr(decontam, "MOST_BROADCAST", 0)
+    two = sorted(key(r) for r in contamination(docs, bench).collect())
+    assert one == two == sorted((i if i is not None else -1, *brute_contamination(t, items)) for i, t, *_ in rows)
+    assert max(r[3] for r in one) >= 200
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head>
 <body><header>Site</header><nav><a href=/x>menu</a></nav><div class="cookie-notice">We use cookies</div>
 <article id="post-7"><h1>Head &amp; <i>line</i></h1><p><b>First&nbsp;one<br>and more.<p>Second  &#233;&lt;p&gt;
@@ -130,3 +146,52 @@ def test_features_count_ngrams_inside_texts():
     grams, has = features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
     assert has.tolist() == [True, False, False, True]
     assert [np.diff(e).tolist() for _, e in grams] == [[5, 0, 0, 2], [4, 0, 0, 1], [3, 0, 0, 0]]
+
+
+def test_training_follows_the_update_rule_step_by_step():
+    """FTRL-proximal with elastic net, coordinate by coordinate in plain loops."""
+    import math
+
+    import numpy as np
+
+    from tessera.llm.langid import BUCKETS, fit_temperature, train_ftrl
+
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(3)), np.sort(rng.choice(40, 6, replace=False)), rng.random(6) * 4) for _ in range(25)]
+    epochs, alpha, beta, l1, l2, seed = 2, 0.3, 1.0, 0.02, 0.05, 3
+    weights, bias = train_ftrl(rows, 3, epochs, alpha, beta, l1, l2, seed)
+    z, n = {}, {}
+
+    def weight(k, c):
+        a = z.get((k, c), 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((beta + math.sqrt(n.get((k, c), 0.0))) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            y, ks, xs = rows[r]
+            at = [*zip(ks.tolist(), xs.tolist(), strict=True), (BUCKETS, 1.0)]
+            w = {(k, c): weight(k, c) for k, _ in at for c in range(3)}
+            odds = [math.exp(sum(x * w[k, c] for k, x in at)) for c in range(3)]
+            for k, x in at:
+                for c in range(3):
+                    g = x * (odds[c] / sum(odds) - (c == y))
+                    old = n.get((k, c), 0.0)
+                    z[k, c] = z.get((k, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[k, c]
+                    n[k, c] = old + g * g
+    assert all(abs(weights[k, c] - weight(k, c)) < 1e-9 for k in range(40) for c in range(3))
+    assert all(abs(bias[c] - weight(BUCKETS, c)) < 1e-9 for c in range(3)) and not weights[40:].any()
+
+    logits = [(y, np.array([y == 0, y == 1, y == 2]) * 3.0 + rng.random(3) * 4) for y, *_ in rows]
+    loss = lambda t: -sum(math.log(math.exp(v[y] / t) / sum(math.exp(x / t) for x in v)) for y, v in logits)
+    best = fit_temperature(logits)
+    assert all(loss(best) <= loss(t) + 1e-9 for t in np.geomspace(0.25, 20, 121))
+
+
+def test_learning_counts_equal_texts_once_and_all_document_frequencies(spark):
+    from tessera.llm.langid import _frequencies
+
+    rows = [("aa bb", "x")] * 50 + [("cc", "y"), ("aa", "x"), ("1", "x")]
+    got = {(r.lang, r.bucket): r.n for r in _frequencies(spark.createDataFrame(rows, "text string, lang string").repartition(3)).collect()}
+    assert (got["x", -1], got["y", -1], got[None, -2]) == (52, 1, 52)
+    assert max(n for (lang, b), n in got.items() if b >= 0) == 52  # the space after each run of letters
