@@ -115,7 +115,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = 2
     """Packs ``docs`` (doc_id, text; other columns are left out) into sequences of at most ``limit`` tokens.
 
     Documents are taken in ascending doc_id (nulls first, ties by text hash) within ranges of
-    ids; each range is packed by itself, so at most one sequence per range ends early. Returns
+    ids; each range is packed by itself, so at most one sequence per range ends early. Inside a
+    range the search starts anew every ``block`` tokens: cuts are the best of each block. Returns
     a row per piece: doc_id, start (the document's ids before it), length, ids_crc32 (of
     little-endian unsigned 32-bit ids), doc_tokens (with ``end_id``), sequence_id and offset
     (the place in the sequence, gapless from 0). A null or empty text is its end id alone, or

@@ -10,6 +10,8 @@ out once per worker."""
 from __future__ import annotations
 
 import functools
+import re
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -112,12 +114,13 @@ class PrefixCounter(BatchEncoder):
 
     def counts(self, text: str) -> np.ndarray:
         """Tokens of text's first 0, 1, ... bytes, special strings counting as the library takes them."""
-        special = next(iter(self.special), None)
+        # leftmost first, of several at one place the longest
+        cut = "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))
         out, base = [np.zeros(1, np.int64)], 0
-        parts = text.split(special) if special else [text]
-        for k, part in enumerate(parts):
-            more = k + 1 < len(parts)
-            raw = np.frombuffer((part + (special[:-1] if more else "")).encode(), np.uint8)
+        parts = re.split(f"({cut})", text) if cut else [text]
+        for part, special in itertools.zip_longest(parts[::2], parts[1::2], fillvalue=""):
+            more = bool(special)
+            raw = np.frombuffer((part + special[:-1]).encode(), np.uint8)
             got, _ = self.plain(raw, np.array([0, len(raw)]), True)
             out.append(base + got)
             if more:
