@@ -1,156 +1,234 @@
 """License scans by sentence rules.
 
-Each line of a text is normalised (lower case, anything but letters, digits, dots inside
-numbers and signs as one space, comment signs before it gone) and mapped to the identifier of
-the known licence sentence that begins in it, by patterns tried in order. A sentence may be
-wrapped over lines; it ends at a mark or a blank line. The SQL knows one-line sentences only. The identifiers of a text, in order, are then matched against
-ordered licence rules, longest first: a rule is a run of identifiers with nothing known in
-between; what a rule matches is used up. Everything is column expressions."""
+A text is cut into sentences: lines that are only wrapped are joined again, comment signs before
+them gone; a sentence ends at a mark before white space and what is no lower-case letter, or at
+a blank line. Each sentence is normalised (lower case; letters, digits and dots between digits
+stay, anything else is one space) and mapped to the identifier of the known licence sentence
+that it holds, by patterns tried in order. The identifiers of a text, in order, are then matched
+against ordered licence rules, longest first: a rule is a run of identifiers with nothing known
+in between; what a rule matches is used up. Everything is column expressions."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: One letter per known licence sentence, and the pattern of its normalised form, first match wins.
+#: Between sentences.
+CUT = "\x1e"
+#: Replacements that cut a text into sentences, in order: pattern, what comes instead.
+STEPS: list[tuple[str, str]] = [
+    (r"\r\n?", "\n"),
+    (r"(^|\n)[ \t\f]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--|>+)?[ \t\f]*", r"\1"),
+    (r"([Ss][Pp][Dd][Xx]-[Ll][Ii][Cc][Ee][Nn][Ss][Ee]-[Ii][Dd][Ee][Nn][Tt][Ii][Ff][Ii][Ee][Rr]:[^\n]*)", "\n\n" + r"\1" + "\n\n"),
+    (r"\n\n+", CUT),
+    (r"\n", " "),
+    (r"(^|[^A-Za-z0-9])[Vv](?:ersion|er)?\.? ?([0-9])", r"\1version \2"),
+    (r"([.!?])[ \x1e]+([^a-z \x1e])", rf"\1{CUT}\2"),
+]
+#: Sentences without any of these are not looked up.
+TELLING = r"licen[sc]e|copyright|permission|redistribut|warrant|spdx|reserved|neither the name|in no event|advertising material|public domain|copy of the mpl|under (the )?(cc|mit|isc|bsd|[al]?gpl|mpl)"
+#: Normalising replacements after lower-casing.
+NORMAL: list[tuple[str, str]] = [(r"[^a-z0-9.]+", " "), (r"\.+( |$)", " "), (r"(^|[^0-9])\.+", r"\1"), (r"licence", "license"), (r" +", " "), (r"^ | $", "")]
+#: What says that a licence is not given.
+NEGATED = r"(^| )(not|never|no longer|isn t|aren t|wasn t|cannot be|unlike|instead of|rather than)( [a-z0-9.]+){0,3} ((licensed|released|distributed|available|published|provided) )?under( |$)"
+
+UNDER = r"(licensed|released|distributed|available|published|shared|provided|redistributed|covered) under( the terms of| the terms and conditions of| a| an)?( the)?( terms of the)? "
+
+
+def _public_licenses() -> list[tuple[str, str, str]]:
+    """Identifier, pattern and licence of the notices and mentions of the GNU licences, versions told apart."""
+    out = []
+    for name, kind, versions in (("AGPL", "affero ", ("3",)), ("LGPL", "(lesser |library )", ("2.1", "2", "3")), ("GPL", "", ("3", "2", "1"))):
+        own = f"gnu {kind}general public license"
+        for v in versions:
+            number, spdx = v.replace(".", r"\.") + r"(\.0)?", f"{name}-{v}" + ("" if "." in v else ".0")
+            foundation = f"{own}( version {number})? as published by the free software foundation"
+            out.append((f"{spdx}-or-later", rf"under the terms of (the )?{foundation}( either)? version {number}( of the license)? or at your option any later version", f"{spdx}-or-later"))
+            out.append((f"{spdx}-only", rf"under the terms of (the )?(version {number} of the {own} as published|{own} version {number} as published|{foundation} version {number}( of the license)?($| only))", f"{spdx}-only"))
+            out.append((spdx, rf"{UNDER}({own}( version)? {number}|(gnu )?{name.lower()} ?(version |v)?{number})( |$)", spdx))
+        out.append((name, rf"{UNDER}({own}|(gnu )?{name.lower()})( |$)", name))
+    return out
+
+
+def _creative_commons() -> list[tuple[str, str, str]]:
+    out = []
+    for name, words, short in (("NC-SA", "non ?commercial share ?alike", "nc sa"), ("NC-ND", "non ?commercial no ?deriv(ative)?s?", "nc nd"), ("NC", "non ?commercial", "nc"), ("SA", "share ?alike", "sa"), ("ND", "no ?deriv(ative)?s?", "nd"), ("", "", "")):
+        mention = rf"{UNDER}(creative commons attribution{words and ' ' + words}|cc by{short and ' ' + short})"
+        for v in ("4.0", "3.0", "2.5", "2.0", "1.0", ""):
+            spdx = "-".join(x for x in ("CC-BY", name, v) if x)
+            out.append((spdx, mention + (rf"( international| unported| generic)?( public)?( license)?( version)? {v}( |$)".replace(".", r"\.") if v else "( |$)"), spdx))
+    return out
+
+
+#: Identifiers of known licence sentences and what their normalised forms hold; the first that fits counts.
 SENTENCES: list[tuple[str, str]] = [
-    ("S", r"^spdx license identifier .+$"),
-    ("A", r"licensed under the apache license,? version 2(\.0)?\b"),
-    ("B", r"you may not use this file except in compliance with the license"),
-    ("C", r"you may obtain a copy of the license at"),
-    ("D", r"^unless required by applicable law or agreed to in writing"),
-    ("E", r"(licensed|released|distributed|available) under the (terms of the )?mit license"),
-    ("F", r"^permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("G", r"^the above copyright notice and this permission notice shall be included"),
-    ("H", r"the software is provided as is, without warranty of any kind"),
-    ("I", r"licensed under the gnu lesser general public license"),
-    ("J", r"licensed under the gnu affero general public license"),
-    ("K", r"licensed under the gnu general public license,? version 3"),
-    ("L", r"licensed under the gnu general public license,? version 2"),
-    ("M", r"this program is free software.* you can redistribute it and/or modify"),
-    ("N", r"^redistribution and use in source and binary forms, with or without modification"),
-    ("O", r"^redistributions of source code must retain the above copyright notice"),
-    ("P", r"^redistributions in binary form must reproduce the above copyright notice"),
-    ("Q", r"^neither the name of .* may be used to endorse or promote products"),
-    ("R", r"licensed under (the )?(creative commons attribution.noncommercial|cc by.nc)( international)?( license)?,?( version)? ?[0-9.]*$"),
-    ("T", r"licensed under (the )?(creative commons attribution.sharealike|cc by.sa)( international)?( license)?,?( version)? ?[0-9.]*$"),
-    ("U", r"licensed under (the )?(creative commons attribution|cc by)( international)?( license)?,?( version)? ?[0-9.]*$"),
-    ("V", r"subject to the terms of the mozilla public license"),
-    ("W", r"^copyright (c )?[0-9]{4}"),
-    ("X", r"^all rights reserved$"),
+    ("spdx", r"^spdx license identifier .+"),
+    ("apache-grant", UNDER + r"apache (software )?license( version)? 2(\.0)?( |$)"),
+    ("apache-title", r"^apache license version 2\.0 january 2004"),
+    ("apache-use", r"you may not use (this file|these files|this software) except in compliance with the license"),
+    ("apache-copy", r"you may obtain a copy of the license at"),
+    ("apache-as-is", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-see", r"see the license for the specific language governing permissions and limitations under the license"),
+    ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files( the software)? to deal in the software without restriction"),
+    ("mit-notice", r"the above copyright notice and this permission notice( including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("mit-as-is", r"the software is provided as is without warranty of any kind express or implied"),
+    ("mit-liability", r"in no event shall the .*(authors|copyright holders?).* be liable for any claim damages or other liability"),
+    ("mit-mention", UNDER + r"mit( x11)? license"),
+    ("isc-grant", r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd-grant", r"permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted$"),
+    ("isc-as-is", r"the software is provided as is and .+ disclaims all warranties with regard to this software"),
+    ("isc-mention", UNDER + r"isc license"),
+    ("bsd-head", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-source", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd-advert", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-names", r"(neither the names? of .+|the names? of .+ may not be used|may not) ?(may be used)? ?to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-as-is", r"this software is provided by .+ as is and any express or implied warranties"),
+    ("bsd-liability", r"in no event shall .+ be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd-3-mention", UNDER + r"(bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)( |$)"),
+    ("bsd-2-mention", UNDER + r"(bsd 2 clause|2 clause bsd|simplified bsd|freebsd)( |$)"),
+    ("mpl-1.1", r"subject to the mozilla public license version 1\.1"),
+    ("mpl-2", r"(subject to the terms of the|" + UNDER + r")( ?)mozilla public license( version)? 2(\.0)?( |$)"),
+    ("mpl", r"(subject to the terms of the|" + UNDER + r")( ?)(mozilla public license|mpl)"),
+    ("mpl-copy", r"if a copy of the mpl was not distributed with this file"),
+    *((i, p) for i, p, _ in _public_licenses()),
+    ("gpl-hope", r"is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-copy", r"you should have received a copy of the gnu (affero |lesser |library )?general public license"),
+    *((i, p) for i, p, _ in _creative_commons()),
+    ("cc0", UNDER + r"(creative commons zero|creative commons cc0|cc0)"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("boost", UNDER + r"boost software license( version)? 1\.0"),
+    ("zlib-as-is", r"this software is provided as is without any express or implied warranty"),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("epl-2", UNDER + r"eclipse public license( version)? 2(\.0)?"),
+    ("reserved", r"all rights reserved$"),
+    ("copyright", r"copyright (c )?[0-9]{4}"),
 ]
-#: Ordered rules over those letters, and the licence each gives.
-RULES: list[tuple[str, str]] = [
-    ("NOPQH", "BSD-3-Clause"),
-    ("NOPQ", "BSD-3-Clause"),
-    ("NOPH", "BSD-2-Clause"),
-    ("NOP", "BSD-2-Clause"),
-    ("ABCD", "Apache-2.0"),
-    ("ABC", "Apache-2.0"),
-    ("FGH", "MIT"),
-    ("FG", "MIT"),
-    ("A", "Apache-2.0"),
-    ("E", "MIT"),
-    ("I", "LGPL"),
-    ("J", "AGPL"),
-    ("K", "GPL-3.0"),
-    ("L", "GPL-2.0"),
-    ("M", "GPL"),
-    ("R", "CC-BY-NC"),
-    ("T", "CC-BY-SA"),
-    ("U", "CC-BY"),
-    ("V", "MPL"),
-    ("X", "Proprietary"),
+#: Ordered rules over those identifiers, and the licence each gives; single notices and mentions follow.
+RULES: list[tuple[tuple[str, ...], str]] = [
+    (("bsd-head", "bsd-source", "bsd-binary", "bsd-advert", "bsd-names"), "BSD-4-Clause"),
+    (("bsd-head", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-liability"), "BSD-3-Clause"),
+    (("bsd-head", "bsd-source", "bsd-binary", "bsd-names"), "BSD-3-Clause"),
+    (("bsd-head", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"), "BSD-2-Clause"),
+    (("bsd-head", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+    (("apache-grant", "apache-copy", "apache-as-is", "apache-see"), "Apache-2.0"),
+    (("mit-grant", "mit-notice", "mit-as-is", "mit-liability"), "MIT"),
+    (("mit-grant", "mit-notice"), "MIT"),
+    (("isc-grant", "isc-as-is"), "ISC"),
+    (("0bsd-grant", "isc-as-is"), "0BSD"),
+    (("zlib-as-is", "zlib-grant"), "Zlib"),
+    (("apache-grant",), "Apache-2.0"),
+    (("apache-title",), "Apache-2.0"),
+    (("mit-mention",), "MIT"),
+    (("isc-grant",), "ISC"),
+    (("isc-mention",), "ISC"),
+    (("bsd-3-mention",), "BSD-3-Clause"),
+    (("bsd-2-mention",), "BSD-2-Clause"),
+    (("mpl-1.1",), "MPL-1.1"),
+    (("mpl-2",), "MPL-2.0"),
+    (("mpl",), "MPL"),
+    (("cc0",), "CC0-1.0"),
+    (("unlicense",), "Unlicense"),
+    (("boost",), "BSL-1.0"),
+    (("epl-2",), "EPL-2.0"),
+    *(((i,), licence) for i, _, licence in [*_public_licenses(), *_creative_commons()]),
 ]
-
-#: A sentence ends at a blank line, or at a mark before white space and what is no lower-case letter.
-BREAK = r"([.!?])[ \t\r\n\f]+([^a-z \t\r\n\f])"
-
-
-#: What a line break inside a sentence looks like to a pattern: a space, with the mark that its next line may bear.
-SPACE = r"(?: |\n(?:\x01[A-Z])?)"
-
-
-def line_pattern(letter: str, pattern: str) -> str:
-    """A known sentence's pattern at the start of a line without a mark: the sentence begins in that line and may run over the next ones."""
-    at = "" if pattern.startswith("^") else r"[^\n]*?"
-    body = pattern.removeprefix("^")
-    end = r"(?=[ ,]*(?:\n|\z))" if body.endswith("$") else ""
-    body = body.removesuffix("$")
-    if letter != "S":  # an SPDX line stands for itself
-        body = re.sub(r"(?<=[a-z])\.(?=[a-z])", lambda _: f"(?:{SPACE}|[^\\n])", body.replace(" ", SPACE).replace(".*", r"(?:(?!\n\n)[\s\S])*?"))
-    return rf"(?m)^(?!\x01)(?={at}{body}{end})"
+#: The licence of a text that reserves all rights and states no licence.
+RESERVED = "Proprietary"
 
 
-def normalised(block: Column) -> Column:
-    """Line by line; a line of signs alone, as between commented paragraphs, becomes an empty one."""
-    plain = F.regexp_replace(F.lower(block), r"[^a-z0-9.,/\n]+", " ")
-    plain = F.regexp_replace(plain, r"\.+(?=[ \n]|\z)", "")
-    return F.regexp_replace(F.regexp_replace(plain, r" +(?=\n|\z)", ""), r"(?m)^[ ,/]+", "")
+def normalised(sentence: Column) -> Column:
+    out = F.lower(sentence)
+    for pattern, put in NORMAL:
+        out = F.regexp_replace(out, pattern, put.replace("\\", "$"))
+    return out
 
 
-def known_sentences(block: Column) -> Column:
-    """id, s of the lines of a block in which a known sentence begins: its letter and the line."""
-    text = normalised(block)
-    for letter, pattern in SENTENCES:  # the first that fits marks the line
-        text = F.regexp_replace(text, line_pattern(letter, pattern), f"\x01{letter}")
-    lines = F.arrays_zip(F.split(text, r"\n").alias("t"), F.split(block, r"\n").alias("s"))
-    return F.transform(F.filter(lines, lambda x: x.t.startswith("\x01")), lambda x: F.struct(F.substring(x.t, 2, 1).alias("id"), x.s.alias("s")))
+def sentence_id(normal: Column) -> Column:
+    """The identifier of a normalised sentence, or null."""
+    out = F.when(normal.rlike(NEGATED), F.lit(None).cast("string"))
+    for name, pattern in SENTENCES:
+        out = out.when(normal.rlike(pattern), F.lit(name))
+    return out
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """Licences that the texts of ``docs`` (doc_id, text; other columns are left out) state.
 
-    Per row: doc_id, n_sentences (lines, or their parts between sentence marks), n_known (known licence sentences), sentence_ids (their
-    letters, in order), licenses (distinct, sorted, joined by commas; a letter S adds its
-    sentence's own identifier as SPDX:...) and licensed. A null or empty text has no sentences;
-    repeated rows repeat; an empty table gives an empty result."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), BREAK, "$1\n\n$2")
-    count = F.size(F.filter(F.split("text", r"\n+"), lambda s: F.trim(s) != ""))
-    # every line counts; only blocks with a telling word are matched
-    telling = F.filter(F.split("text", r"\n[ \t\r\f]*\n"), lambda b: F.lower(b).rlike(r"licen|copyright|permission|redistribut|warrant|spdx|reserved|unless|neither"))
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", count.cast("long").alias("n_sentences"), F.flatten(F.transform(telling, known_sentences)).alias("known"))
-    ids = F.array_join(F.transform("known", lambda x: x.id), "")
-    rows = rows.select("doc_id", "n_sentences", F.size("known").cast("long").alias("n_known"), ids.alias("sentence_ids"), F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("known", lambda x: x.id == "S"), lambda x: F.concat(F.lit("SPDX:"), F.regexp_extract(x.s, r"(?i)identifier[\s:]*(.*?)[\s*/]*$", 1))))), ",").alias("spdx"))
-    rest, hits = F.col("sentence_ids"), []
-    for run, licence in RULES:
-        hits.append(F.when(rest.contains(run), F.lit(licence)))
-        rest = F.replace(rest, F.lit(run), F.lit("-"))
+    Per row: doc_id, n_sentences, n_known (known licence sentences), sentence_ids (their
+    identifiers, in order, joined by commas), licenses (distinct SPDX names, sorted, joined by
+    commas; an SPDX line adds its own as SPDX:...; Proprietary if all rights are reserved and
+    nothing else is stated) and licensed. Sentences that say that something is not under a
+    licence count as unknown. A null or empty text has no sentences; repeated rows repeat; an
+    empty table gives an empty result."""
+    text = F.coalesce("text", F.lit(""))
+    for pattern, put in STEPS:
+        text = F.regexp_replace(text, pattern, put.replace("\\", "$"))
+    sentences = F.filter(F.split(text, CUT), lambda s: F.trim(s) != "")
+    rows = docs.select("doc_id", sentences.alias("s"))
+    # normalised once, then looked up
+    telling = F.transform(F.filter("s", lambda s: F.lower(s).rlike(TELLING)), lambda s: F.struct(normalised(s).alias("n"), s.alias("s")))
+    telling = F.transform(telling, lambda x: F.struct(sentence_id(x.n).alias("id"), x.s.alias("s")))
+    rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.filter(telling, lambda x: x.id.isNotNull()).alias("known"))
+    spdx = F.transform(F.filter("known", lambda x: x.id == "spdx"), lambda x: F.concat(F.lit("SPDX:"), F.regexp_extract(x.s, r":[ \t]*(.*?)[ \t*/>-]*$", 1)))
+    rows = rows.select("doc_id", "n_sentences", F.transform("known", lambda x: x.id).alias("ids"), spdx.alias("spdx"))
+    rules = F.array(*(F.struct(F.lit("|" + "|".join(run) + "|").alias("run"), F.lit(licence).alias("licence")) for run, licence in RULES))
+    start = F.struct(F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|")).alias("rest"), F.array().cast("array<string>").alias("hits"))
     # each rule works on what earlier rules left
-    named = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits, F.when(F.col("spdx") != "", F.col("spdx"))))))
-    return rows.select("doc_id", "n_sentences", "n_known", "sentence_ids", F.array_join(named, ",").alias("licenses"), (F.size(named) > 0).alias("licensed"))
+    hits = F.aggregate(
+        rules,
+        start,
+        lambda at, rule: F.struct(F.replace(at.rest, rule.run, F.lit("|-|")).alias("rest"), F.when(F.contains(at.rest, rule.run), F.array_append(at.hits, rule.licence)).otherwise(at.hits).alias("hits")),
+        lambda at: at.hits,
+    )
+    hits = F.when(F.size("ids") > 0, hits).otherwise(F.array().cast("array<string>"))
+    named = F.array_sort(F.array_distinct(F.concat(hits, "spdx")))
+    rows = rows.select("doc_id", "n_sentences", "ids", named.alias("named"))
+    named = F.when((F.size("named") == 0) & F.array_contains("ids", "reserved"), F.array(F.lit(RESERVED))).otherwise(F.col("named"))
+    return rows.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(named, ",").alias("licenses"), (F.size(named) > 0).alias("licensed"))
+
+
+def _quoted(text: str) -> str:
+    """A SQL string; control characters by their codes."""
+    parts, out = text.replace("'", "''"), ""
+    for c in parts:
+        out += c if c >= " " else f"' || chr({ord(c)}) || '"
+    return f"'{out}'"
 
 
 def _sql() -> str:
-    case = " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{k}'" for k, p in SENTENCES)
-    rest, hits = "ids", []
-    for run, licence in RULES:
-        hits.append(f"CASE WHEN contains({rest}, '{run}') THEN '{licence}' END")
-        rest = f"replace({rest}, '{run}', '-')"
-    return rf"""
-WITH marked AS (
-  SELECT doc_id, regexp_replace(coalesce(text, ''), '{BREAK}', '\1' || chr(10) || '\2', 'g') AS t FROM documents),
-s AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '\n+'), lambda x: trim(x) <> '') AS s FROM marked),
+    text = "coalesce(text, '')"
+    for pattern, put in STEPS:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(put)}, 'g')"
+    normal = "lower(s)"
+    for pattern, put in NORMAL:
+        normal = f"regexp_replace({normal}, {_quoted(pattern)}, {_quoted(put)}, 'g')"
+    case = " ".join(f"WHEN regexp_matches(n, {_quoted(p)}) THEN '{k}'" for k, p in SENTENCES)
+    steps, hits = "", []
+    for k, (run, licence) in enumerate(RULES):
+        found = "'|" + "|".join(run) + "|'"
+        hits.append(f"CASE WHEN contains(r{k}, {found}) THEN '{licence}' END")
+        steps += f",\nq{k + 1} AS (SELECT *, replace(r{k}, {found}, '|-|') AS r{k + 1} FROM q{k})"
+    return f"""
+WITH t AS (SELECT doc_id, list_filter(string_split({text}, chr({ord(CUT)})), lambda x: trim(x) <> '') AS s FROM documents),
 e AS (
-  SELECT doc_id, i, s[i] AS s,
-    regexp_replace(regexp_replace(regexp_replace(lower(s[i]), '[^a-z0-9.,/]+', ' ', 'g'), '\.+( |$)', ' ', 'g'), '^[ ,/]+|[ ,]+$', '', 'g') AS n
-  FROM s, unnest(range(1, len(s) + 1)) AS u(i)
-  WHERE regexp_matches(lower(s[i]), 'licen|copyright|permission|redistribut|warrant|spdx|reserved|unless required|neither the name')),
-k AS (SELECT doc_id, i, s, CASE {case} END AS id FROM e),
+  SELECT doc_id, i, s[i] AS s FROM t, unnest(range(1, len(s) + 1)) AS u(i)
+  WHERE regexp_matches(lower(s[i]), {_quoted(TELLING)})),
+n AS (SELECT doc_id, i, s, {normal} AS n FROM e),
+k AS (SELECT doc_id, i, s, CASE WHEN regexp_matches(n, {_quoted(NEGATED)}) THEN NULL {case} END AS id FROM n),
 g AS (
-  SELECT doc_id, count(*) AS n_known, string_agg(id, '' ORDER BY i) AS ids,
-    list_sort(list_distinct(list('SPDX:' || regexp_extract(s, '(?i)identifier[\s:]*(.*?)[\s*/]*$', 1)) FILTER (id = 'S'))) AS spdx
+  SELECT doc_id, count(*) AS n_known, string_agg(id, '|' ORDER BY i) AS ids,
+    list('SPDX:' || regexp_extract(s, ':[ \\t]*(.*?)[ \\t*/>-]*$', 1)) FILTER (id = 'spdx') AS spdx
   FROM k WHERE id IS NOT NULL GROUP BY doc_id),
-j AS (
-  SELECT s.doc_id, len(s.s) AS n_sentences, coalesce(n_known, 0) AS n_known, coalesce(ids, '') AS ids, array_to_string(spdx, ',') AS spdx
-  FROM s LEFT JOIN g USING (doc_id)),
-r AS (
-  SELECT *, list_sort(list_distinct(list_filter([{", ".join(hits)}, nullif(spdx, '')], lambda x: x IS NOT NULL))) AS named FROM j)
-SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(n_known AS BIGINT) AS n_known, ids AS sentence_ids,
-  coalesce(array_to_string(named, ','), '') AS licenses, len(named) > 0 AS licensed
-FROM r
+q0 AS (
+  SELECT t.doc_id, len(t.s) AS n_sentences, coalesce(n_known, 0) AS n_known, coalesce(ids, '') AS ids, spdx, '|' || coalesce(ids, '') || '|' AS r0
+  FROM t LEFT JOIN g USING (doc_id)){steps},
+f AS (
+  SELECT *, list_sort(list_distinct(list_concat(list_filter([{", ".join(hits)}], lambda x: x IS NOT NULL), coalesce(spdx, [])))) AS named FROM q{len(RULES)}),
+p AS (SELECT *, CASE WHEN len(named) = 0 AND contains(r0, '|reserved|') THEN ['{RESERVED}'] ELSE named END AS stated FROM f)
+SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(n_known AS BIGINT) AS n_known, replace(ids, '|', ',') AS sentence_ids,
+  coalesce(array_to_string(stated, ','), '') AS licenses, len(stated) > 0 AS licensed
+FROM p
 """
 
 
