@@ -270,7 +270,7 @@ def _components_of_rows(docs: DataFrame, width: int, percent: int, m: int) -> Da
 
     members = scratch.stored(_buckets(classes, m, scratch), "members")
     # round 1: every member against its buckets' hubs
-    pairs = members.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = members.where("cls <> hub").where(_sizes_fit("n", "hub_n", percent)).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = scratch.stored(_bounded(pairs, classes, percent), "pairs")
     texts = scratch.stored(_class_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), classes, scratch), "texts")
     links = scratch.stored(verified(pairs, texts, width, percent), "links")
@@ -296,26 +296,29 @@ def _components_of_rows(docs: DataFrame, width: int, percent: int, m: int) -> Da
 
 
 def _buckets(classes: DataFrame, m: int, scratch: Scratch) -> DataFrame:
-    """key, cls, hub: the members of all buckets of two or more, a bucket's hub being the member whose tuples are shared most.
+    """key, cls, n, hub, hub_n: the members of all buckets of two or more, a bucket's hub being the member whose tuples are shared most.
 
     classes: cls, n, tuples."""
-    tuples = classes.select("cls", F.posexplode("tuples").alias("slot", "value"))
+    tuples = classes.select("cls", "n", F.posexplode("tuples").alias("slot", "value"))
     shared = tuples.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
     side = lambda test: F.transform(F.filter("alive", test), lambda x: x.value)
-    alive = tuples.join(shared, "value").groupBy("cls").agg(F.collect_list(F.struct("slot", "value")).alias("alive"), F.sum("held").alias("score"))
-    alive = alive.select("cls", "score", side(lambda x: x.slot < m).alias("u"), side(lambda x: x.slot >= m).alias("v")).where("size(u) > 0 and size(v) > 0")
-    keys = alive.select("cls", "score", F.explode(F.flatten(F.transform("u", lambda x: F.transform("v", lambda y: F.xxhash64(x, y))))).alias("key"))
+    alive = tuples.join(shared, "value").groupBy("cls", "n").agg(F.collect_list(F.struct("slot", "value")).alias("alive"), F.sum("held").alias("score"))
+    alive = alive.select("cls", "n", "score", side(lambda x: x.slot < m).alias("u"), side(lambda x: x.slot >= m).alias("v")).where("size(u) > 0 and size(v) > 0")
+    keys = alive.select("cls", "n", "score", F.explode(F.flatten(F.transform("u", lambda x: F.transform("v", lambda y: F.xxhash64(x, y))))).alias("key"))
     keys = scratch.stored(keys, "keys")
-    hubs = keys.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("score", "cls")).getField("cls").alias("hub")).where("size > 1").drop("size")
-    return keys.join(hubs, "key").select("key", "cls", "hub")
+    hubs = keys.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("score", "cls", "n")).alias("top")).where("size > 1")
+    return keys.join(hubs, "key").select("key", "cls", "n", F.col("top.cls").alias("hub"), F.col("top.n").alias("hub_n"))
+
+
+def _sizes_fit(one: str, two: str, percent: int) -> Column:
+    """Whether sets of these sizes can reach the threshold."""
+    return F.least(one, two) * 100 >= F.greatest(one, two) * percent
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sizes and bitmaps leave the similarity possible."""
     one, two = (classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
-    sizes = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    fit = pairs.join(one.drop("bits_a"), "a").join(two.drop("bits_b"), "b").where(sizes)
-    return possible(fit.join(one.select("a", "bits_a"), "a").join(two.select("b", "bits_b"), "b"), percent)
+    return possible(pairs.join(one, "a").join(two, "b").where(_sizes_fit("n_a", "n_b", percent)), percent)
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
