@@ -79,9 +79,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]] if len(bounds) else data[:0], bounds - bounds[0]
 
 
-def slices(batch: pa.RecordBatch, bounds: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch with about ``limit`` bytes of text each; a longer text is a range of its own."""
-    lo, n = 0, batch.num_rows
+def slices(rows: pa.RecordBatch | pa.Array, bounds: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch or column with about ``limit`` bytes of text each; a longer text is a range of its own."""
+    lo, n = 0, rows.num_rows if isinstance(rows, pa.RecordBatch) else len(rows)
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + limit, "right")) - 1)
         yield lo, min(hi, n)
@@ -103,6 +103,7 @@ class RangeHash:
     """64-bit hashes of many ranges of one array: prefix sums of a polynomial modulo 2**64, then mixed."""
 
     BASE = 0x9E3779B97F4A7C15 | 1
+    KEPT = 1 << 21  # powers that a worker keeps; longer arrays have their own
     _powers = np.ones(1, np.uint64)
     _inverse = np.ones(1, np.uint64)
 
@@ -112,7 +113,9 @@ class RangeHash:
             size = max(1 << 20, n + 1)
             up, down = np.full(size, self.BASE, np.uint64), np.full(size, pow(self.BASE, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
-            RangeHash._powers, RangeHash._inverse = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            self._powers, self._inverse = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            if size <= self.KEPT:
+                RangeHash._powers, RangeHash._inverse = self._powers, self._inverse
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * self._powers[:n], out=self.sums[1:])
 

@@ -203,7 +203,7 @@ def predicted(model: LanguageModel, text: Column) -> Column:
     def predict(column: pa.Array) -> pa.Array:
         data, bounds = utf8(column)
         names, scores = [], []
-        for lo, hi in slices(column_rows(column), bounds):
+        for lo, hi in slices(column, bounds):
             best, sure = model.score(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
             names += [model.languages[b] if b >= 0 else UNKNOWN for b in best.tolist()]
             scores += sure.tolist()
@@ -212,11 +212,6 @@ def predicted(model: LanguageModel, text: Column) -> Column:
     return predict(text)
 
 
-class column_rows:  # noqa: N801  what ``slices`` needs of a batch
-    def __init__(self, column: pa.Array):
-        self.num_rows = len(column)
-
-
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 

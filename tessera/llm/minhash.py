@@ -158,7 +158,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             for c in ("text_a", "text_b"):
                 coded = batch.column(c).dictionary_encode()  # a hub's text comes with each of its pairs
                 data, bounds = utf8(coded.dictionary)
-                sides.append((coded.indices.to_numpy(), *shingle_sets(data, bounds, width)))
+                parts = [shingle_sets(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], width) for lo, hi in slices(coded.dictionary, bounds)]
+                ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in parts]))]) if parts else np.zeros(1, np.int64)
+                sides.append((coded.indices.to_numpy(), np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64), ends))
             keep = []
             for i in range(batch.num_rows):
                 one, two = (h[e[k[i]] : e[k[i] + 1]] for k, h, e in sides)
