@@ -92,12 +92,24 @@ def tag_match(seq: Column, anchor: str, trailing: str, *, start: int, umi: tuple
 
 
 def quality_encoding(least: Column, most: Column) -> Column:
-    return F.when(least < 64, "phred33").when(most > 74, "phred64").otherwise("unknown")
+    return F.when(least.isNull() | most.isNull(), "unknown").when(least < 64, "phred33").when(most > 74, "phred64").otherwise("unknown")
+
+
+#: How names that an archive has rewritten begin, and the index at the end of an instrument's name.
+ARCHIVE_NAME = r"^[SED]RR\d+\.\d+"
+NAME_INDEX = r"[ /]([ACGTN]{6,})(?:\+[ACGTN]{6,})?\s*$"
 
 
 def read_name(name: Column) -> Column:
-    """Instrument, run, flowcell, lane and tile of a colon-separated read name of seven fields or more; else nulls."""
-    head = F.split(F.regexp_replace(F.split(name, r"\s+").getItem(0), "^@", ""), ":")
-    full = F.size(head) >= 7
+    """parsed, sra_normalized, instrument, run, flowcell, lane, tile and index of a colon-separated read name of seven fields or more.
+
+    Else all but the flags are null. Lane and tile are numbers together or not at all."""
+    name = F.regexp_replace(name, "^@", "")
+    archive = F.coalesce(name.rlike(ARCHIVE_NAME), F.lit(False))
+    head = F.split(name, ":")
+    full = F.coalesce(~archive & (F.size(head) >= 7), F.lit(False))
     part = lambda k: F.when(full, F.get(head, F.lit(k)))
-    return F.struct(part(0).alias("instrument"), part(1).alias("run"), part(2).alias("flowcell"), part(3).try_cast("int").alias("lane"), part(4).try_cast("int").alias("tile"), F.regexp_extract(name, r"\s[12]:[YN]:\d+:([ACGTN+]+)$", 1).alias("index"))
+    lane, tile = (F.trim(part(k)).try_cast("int") for k in (3, 4))
+    both = lane.isNotNull() & tile.isNotNull()
+    index = F.when(full, F.nullif(F.regexp_extract(name, NAME_INDEX, 1), F.lit("")))
+    return F.struct(full.alias("parsed"), archive.alias("sra_normalized"), part(0).alias("instrument"), part(1).alias("run"), part(2).alias("flowcell"), F.when(both, lane).alias("lane"), F.when(both, tile).alias("tile"), index.alias("index"))

@@ -44,10 +44,13 @@ def as_number(text: Column) -> Column:
     return F.when(percent, F.regexp_replace(F.trim(text), "%$", "").try_cast("double") / 100).otherwise(F.trim(text).try_cast("double"))
 
 
+_DIGITS = r"\d+(?:_\d+)*"
+
+
 def value_kind(text: Column) -> Column:
-    """int, float or str: what a value is read as."""
+    """int, float or str: what a value is read as. Digits may be grouped by underscores; inf and nan are floats."""
     value = F.trim(text)
-    return F.when(value.rlike(r"^[+-]?\d+$"), "int").when(value.rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$"), "float").otherwise("str")
+    return F.when(value.rlike(rf"^[+-]?{_DIGITS}$"), "int").when(value.rlike(rf"^[+-]?(({_DIGITS}\.({_DIGITS})?|\.{_DIGITS}|{_DIGITS})([eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan))$"), "float").otherwise("str")
 
 
 def grade(value: Column, warn: Column, bad: Column, higher_is_better: bool = True) -> Column:
@@ -72,13 +75,15 @@ def _tenths(n: Column, unit: int) -> Column:
 
 
 def short_count(n: Column) -> Column:
-    """1.2K, 3.4M or 5.6B."""
-    return (
-        F.when(n >= 1_000_000_000, F.concat(_tenths(n, 1_000_000_000), F.lit("B")))
-        .when(n >= 1_000_000, F.concat(_tenths(n, 1_000_000), F.lit("M")))
-        .when(n >= 1000, F.concat(_tenths(n, 1000), F.lit("K")))
-        .otherwise(n.cast("string"))
+    """1.2K, 3.4M or 5.6B; a sign stays."""
+    sign, size = F.when(n < 0, "-").otherwise(""), F.abs(n)
+    short = (
+        F.when(size >= 1_000_000_000, F.concat(_tenths(size, 1_000_000_000), F.lit("B")))
+        .when(size >= 1_000_000, F.concat(_tenths(size, 1_000_000), F.lit("M")))
+        .when(size >= 1000, F.concat(_tenths(size, 1000), F.lit("K")))
+        .otherwise(size.cast("string"))
     )
+    return F.concat(sign, short)
 
 
 #: Accession patterns of public archives and the kind each names, in the order they are tried.
@@ -98,9 +103,10 @@ def lane_of(name: Column) -> Column:
 
 
 def read_designation(name: Column) -> Column:
-    """R1, R2, I1 or I2 of a file name; a bare 1 to 4 before the extension as it is."""
-    lettered = F.regexp_extract(name, r"_([RI][12])(?:_|\.)", 1)
-    bare = F.regexp_extract(name, r"_([1-4])\.(?:fastq|fq)", 1)
+    """R1 to R4 or I1 to I4 (in any case) at the end of a file name, a set number apart; else a last 1 to 4, alone or after ``read``; else null."""
+    stem = F.regexp_replace(name, r"(?i)\.(fastq|fq)(\.gz)?$", "")
+    lettered = F.upper(F.regexp_extract(stem, r"(?i)[._]([RI][1-4])(?:[._]\d{3})?$", 1))
+    bare = F.regexp_extract(stem, r"(?i)[._](?:read[-_]?)?([1-4])(?:[._]\d{3})?$", 1)
     return F.when(lettered != "", lettered).when(bare != "", bare)
 
 

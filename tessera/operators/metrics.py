@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def knee_points(values: DataFrame, points: int = 200) -> DataFrame:
-    """rank, value at up to ``points`` log-spaced ranks of the values (value) in falling order.
+    """rank, value at up to ``points`` log-spaced ranks of the values (value) in falling order; of ``points`` values or fewer every rank.
 
     Ranks come from counts of equal values, so that equal values never meet in one task; the
     counts are ordered in ranges of values, each of which knows what lies above it."""
@@ -24,7 +24,7 @@ def knee_points(values: DataFrame, points: int = 200) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     wanted = total.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), "total").where("total > 0")
     rank = F.least(F.col("total"), F.greatest(F.lit(1), F.round(F.exp(F.ln("total") * F.col("k") / (points - 1)), 0).cast("long")))
-    wanted = wanted.select(rank.alias("rank")).distinct()
+    wanted = wanted.select(F.when(F.col("total") > points, rank).otherwise(F.col("k") + 1).alias("rank"), "total").where("rank <= total").select("rank").distinct()
     return ranked.join(F.broadcast(wanted), F.col("rank").between(F.col("from"), F.col("upto"))).select("rank", "value")
 
 

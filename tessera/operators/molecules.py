@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,46 +14,75 @@ def umi_counts(reads: DataFrame) -> DataFrame:
     return reads.where("umi <> ''").groupBy("cell", "gene", "umi").agg(F.count("*").alias("n"))
 
 
-def correct_umis(counts: DataFrame) -> DataFrame:
-    """Directional merge of molecules one mismatch apart inside each (cell, gene): cell, gene, umi, n.
+def correct_umis(counts: DataFrame, keys: tuple[str, ...] = ("cell", "gene")) -> DataFrame:
+    """Directional merge of molecules one mismatch apart inside each key: keys, umi, n.
 
     Seeds go by falling count, then umi. A seed takes up a neighbour of count c if
-    2 * c - 1 <= the seed's own first count; what was taken up is no seed. Only molecules
-    with a neighbour reach Python: neighbours are found by blanking each place in turn, an
-    equi-join, and those without one pass by. A group there holds distinct molecules of one
-    cell and gene, at most four to the power of their length."""
-    blanks = F.transform(F.sequence(F.lit(1), F.length("umi")), lambda k: F.concat(F.substring("umi", F.lit(1), k - 1), F.lit("_"), F.substring("umi", k + 1, F.length("umi"))))
-    shared = counts.select("cell", "gene", "umi", F.explode(blanks).alias("blank")).groupBy("cell", "gene", "blank").agg(F.count("*").alias("m"), F.collect_list("umi").alias("umis")).where("m > 1")
-    close = shared.select("cell", "gene", F.explode("umis").alias("umi")).distinct()
-    near, alone = counts.join(close, ["cell", "gene", "umi"], "left_semi"), counts.join(close, ["cell", "gene", "umi"], "left_anti")
-    return alone.select("cell", "gene", "umi", "n").union(near.groupBy("cell", "gene").applyInPandas(_merge_group, near.select("cell", "gene", "umi", "n").schema))
-
-
-def _merge_group(rows: pd.DataFrame) -> pd.DataFrame:
-    first = dict(zip(rows["umi"], rows["n"].astype(int), strict=True))
+    2 * c - 1 <= the seed's own first count; what was taken up is no seed. One shuffle by key;
+    tasks walk over sorted batches and hold one key at a time, which has distinct molecules,
+    at most as many as there are strings of their length."""
+    rows = counts.select(*keys, "umi", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, held, own = None, None, {}
+        out: tuple[list, list, list] = [], [], []  # keys, umis, counts
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array([k[c] for k in out[0]], schema.field(c).type) for c in range(len(keys))]
+            batch = pa.RecordBatch.from_arrays([*cols, pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], schema=schema)
+            for part in out:
+                part.clear()
+            return batch
+
+        def end() -> None:
+            merged = _merged(own) if len(own) > 1 else own
+            out[0].extend([held] * len(merged))
+            out[1].extend(merged.keys())
+            out[2].extend(merged.values())
+
+        for batch in batches:
+            schema = schema or pa.schema([*(batch.schema.field(k) for k in keys), pa.field("umi", pa.string()), pa.field("n", pa.int64())])
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            for key, umi, n in zip(names, batch.column("umi").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if key != held:
+                    if own:
+                        end()
+                    held, own = key, {}
+                own[umi] = own.get(umi, 0) + n
+            if len(out[0]) > 20000:
+                yield flush()
+        if own:
+            end()
+        if out[0]:
+            yield flush()
+
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{schema}, umi string, n long")
+
+
+def _merged(first: dict[str, int]) -> dict[str, int]:
+    """Molecules of one key after the merge, by umi."""
+    letters = set().union(*first)
     total, taken = dict(first), set()
     for seed in sorted(first, key=lambda u: (-first[u], u)):
         if seed in taken:
             continue
         for k, own in enumerate(seed):
-            for base in "ACGTN":
-                other = seed[:k] + base + seed[k + 1 :]
+            head, tail = seed[:k], seed[k + 1 :]
+            for base in letters:
+                other = head + base + tail
                 if base != own and other in first and other not in taken and 2 * first[other] - 1 <= first[seed]:
                     taken.add(other)
                     total[seed] += first[other]
-    kept = sorted(u for u in first if u not in taken)
-    return pd.DataFrame({"cell": rows["cell"].iloc[0], "gene": rows["gene"].iloc[0], "umi": kept, "n": [total[u] for u in kept]})[["cell", "gene", "umi", "n"]]
+    return {u: total[u] for u in sorted(first) if u not in taken}
 
 
 def molecule_layers(reads: DataFrame) -> DataFrame:
     """cell, gene, layer, molecules of rows with a region (exon, intron); layer all corrects the union, which is not the sum."""
     by_region = reads.where("umi <> ''").groupBy("cell", "gene", "region", "umi").agg(F.count("*").alias("n"))
-    both = by_region.select("cell", "gene", F.lit("all").alias("region"), "umi", "n")
-    rows = by_region.unionByName(both).groupBy("cell", "gene", "region", "umi").agg(F.sum("n").alias("n"))
-    # one correction for all layers: the layer is part of the gene's name meanwhile
-    out = correct_umis(rows.select("cell", F.struct("gene", "region").alias("gene"), "umi", "n").withColumn("gene", F.to_json("gene")))
-    named = out.groupBy("cell", "gene").agg(F.count("*").alias("molecules")).withColumn("g", F.from_json("gene", "gene long, region string"))
-    return named.select("cell", F.col("g.gene").alias("gene"), F.col("g.region").alias("layer"), "molecules")
+    layers = by_region.select("cell", "gene", F.explode(F.array("region", F.lit("all"))).alias("layer"), "umi", "n")
+    out = correct_umis(layers.groupBy("cell", "gene", "layer", "umi").agg(F.sum("n").alias("n")), ("cell", "gene", "layer"))
+    return out.groupBy("cell", "gene", "layer").agg(F.count("*").alias("molecules"))
 
 
 def saturation(reads: DataFrame) -> DataFrame:

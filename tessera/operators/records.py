@@ -11,20 +11,26 @@ from tessera.functions.text import TOKEN, token_skeleton, token_values
 BASIS_RANK = {"observed": 3, "user_confirmed": 2, "asserted": 1, "inferred": 0}
 
 
-def ancestors(records: DataFrame, depth: int = 4) -> DataFrame:
-    """accession, ancestor, distance of (accession, parent) rows, up to ``depth`` levels above; cycles end there.
-
-    A level is a join with the table itself; real hierarchies have three or four levels."""
-    edges = records.where("parent is not null").select("accession", F.col("parent").alias("ancestor"))
-    level, out = edges.withColumn("distance", F.lit(1)), None
-    for k in range(1, depth + 1):
+def ancestors(records: DataFrame, depth: int | None = None) -> DataFrame:
+    """accession, ancestor, distance of (accession, parent) rows, up to the roots or ``depth`` levels above; cycles end where they meet themselves.
+
+    A level is a join with the table itself, until a level brings nothing new."""
+    edges = records.where("parent is not null").select("accession", F.col("parent").alias("ancestor")).distinct().persist()
+    up = edges.select(F.col("accession").alias("ancestor"), F.col("ancestor").alias("above"))
+    level, out, k = edges.withColumn("distance", F.lit(1)), None, 1
+    while True:
         out = level if out is None else out.union(level)
-        up = edges.select(F.col("accession").alias("ancestor"), F.col("ancestor").alias("above"))
-        level = level.join(up, "ancestor").select("accession", F.col("above").alias("ancestor"), F.lit(k + 1).alias("distance"))
-    return out.groupBy("accession", "ancestor").agg(F.min("distance").alias("distance")).where("accession <> ancestor")
+        k += 1
+        if depth is not None and k > depth:
+            break
+        level = level.join(up, "ancestor").select("accession", F.col("above").alias("ancestor")).distinct()
+        level = level.join(out.select("accession", "ancestor"), ["accession", "ancestor"], "left_anti").withColumn("distance", F.lit(k)).persist()
+        if level.isEmpty():
+            break
+    return out.where("accession <> ancestor")
 
 
-def ancestor_at(records: DataFrame, level: str, depth: int = 4) -> DataFrame:
+def ancestor_at(records: DataFrame, level: str, depth: int | None = None) -> DataFrame:
     """accession, its nearest ancestor at a level (itself, if it is there); null without one."""
     at = records.where(F.col("level") == level).select(F.col("accession").alias("ancestor"))
     up = ancestors(records, depth).union(records.select("accession", F.col("accession").alias("ancestor"), F.lit(0).alias("distance")))
@@ -95,6 +101,27 @@ def shared_shingles(texts: DataFrame, others: DataFrame, width: int) -> DataFram
     return by.where("shared > 0").withColumn("rate", F.col("shared") / F.col("n"))
 
 
+def quote_residue(texts: DataFrame, least: int = 4) -> DataFrame:
+    """batch, n_documents, n_spans, n_ambiguous of (batch, id, text): of the runs of ``least`` tokens that a batch's texts hold, how many are in more than one of them.
+
+    A run is the text from its first token to its last, separators included; a text's equal
+    runs count once. The runs are compared by 64-bit hashes."""
+    starts = r"[^\p{L}\p{N}_]+"
+    token, gap = F.filter(F.split("text", starts), lambda x: x != ""), F.regexp_extract_all("text", F.lit(starts), 0)
+    # gaps between tokens only: one before the first token is no gap
+    gap = F.when(F.col("text").rlike(rf"^{starts}"), F.slice(gap, F.lit(2), F.size(gap))).otherwise(gap)
+    rows = texts.select("batch", "id", token.alias("w"), gap.alias("g"))
+    pieces = F.zip_with("w", "g", lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    rows = rows.select("batch", "id", "w", pieces.alias("p"))
+    run = lambda k: F.xxhash64(F.concat(F.array_join(F.slice("p", k, F.lit(least - 1)), ""), F.get("w", k + (least - 2))))
+    runs = F.when(F.size("w") >= least, F.transform(F.sequence(F.lit(1), F.size("w") - (least - 1)), run)).otherwise(F.array().cast("array<long>"))
+    spans = rows.select("batch", F.explode(F.array_distinct(runs)).alias("span"))
+    carried = spans.groupBy("batch", "span").agg(F.count("*").alias("n"))
+    by = carried.groupBy("batch").agg(F.sum("n").alias("n_spans"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_ambiguous"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return texts.groupBy("batch").agg(F.count("*").alias("n_documents")).join(by, "batch", "left").select("batch", "n_documents", zero("n_spans"), zero("n_ambiguous"))
+
+
 def unambiguous_synonyms(names: DataFrame) -> DataFrame:
     """key, attribute: synonyms (attribute, synonym) that mean one attribute; an attribute's own name always means itself."""
     own = names.select(F.col("attribute").alias("key"), "attribute").distinct()

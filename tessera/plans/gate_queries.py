@@ -131,11 +131,10 @@ def unpivoted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH v AS (SELECT o_custkey, CAST(round(sum(o_totalprice)) AS BIGINT) * 1000 AS n FROM orders GROUP BY o_custkey)
-SELECT o_custkey, CASE WHEN n >= 1000000000 THEN printf('%.1fB', n / 1000000000) WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000) WHEN n >= 1000 THEN printf('%.1fK', n / 1000) ELSE CAST(n AS VARCHAR) END AS short FROM v WHERE n % 100000 <> 50000 AND n % 100000000 <> 50000000"""
+SELECT o_custkey, CASE WHEN n >= 1000000000 THEN printf('%.1fB', n / 1000000000) WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000) WHEN n >= 1000 THEN printf('%.1fK', n / 1000) ELSE CAST(n AS VARCHAR) END AS short FROM v"""
 )
 def short_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.round(F.sum("o_totalprice"), 0).cast("long") * 1000).alias("n"))
-    by = by.where("n % 100000 <> 50000 and n % 100000000 <> 50000000")
     return by.select("o_custkey", fn.short_count(F.col("n")).alias("short"))
 
 

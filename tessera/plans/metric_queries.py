@@ -14,12 +14,22 @@ from tessera.plans.views import view, with_views
     """WITH v AS (SELECT o_custkey, count(*) AS value FROM orders GROUP BY o_custkey),
 r AS (SELECT value, row_number() OVER (ORDER BY value DESC) AS rank, count(*) OVER () AS n FROM v),
 w AS (SELECT DISTINCT least(n, greatest(1, CAST(round(exp(ln(n) * k / 199)) AS BIGINT))) AS rank FROM (SELECT max(n) AS n FROM r) m, unnest(range(200)) AS u(k))
-SELECT rank, value FROM r JOIN w USING (rank)"""
+SELECT rank, value FROM r WHERE n <= 200 OR rank IN (SELECT rank FROM w)"""
 )
 def knee_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.knee_points(spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count("*").alias("value")))
 
 
+@query(
+    """WITH v AS (SELECT s_suppkey, count(*) AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY s_suppkey)
+SELECT row_number() OVER (ORDER BY s_suppkey DESC) AS rank, s_suppkey AS value FROM (SELECT s_suppkey FROM v ORDER BY s_suppkey DESC LIMIT 100) t"""
+)
+def short_knee_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 largest keys: below 200 values every rank is a point."""
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("value"))
+    return ops.knee_points(keys.orderBy(F.desc("value")).limit(100))
+
+
 @query(
     with_views(
         """WITH r AS (SELECT sample, run, CASE WHEN count(*) = count(reads) THEN min(reads) END AS reads FROM depths GROUP BY sample, run),
@@ -46,10 +56,10 @@ def compare_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT l_suppkey, count(*) AS n, CASE WHEN count(*) >= 3 AND var_pop(l_quantity) > 0 THEN round(regr_slope(l_partkey % 100, l_quantity), 6) END AS slope,
-  CASE WHEN count(*) >= 3 AND var_pop(l_quantity) > 0 THEN round(regr_intercept(l_partkey % 100, l_quantity), 6) END AS intercept FROM lineitem WHERE l_linenumber = 1 OR l_suppkey % 2 = 0 GROUP BY l_suppkey"""
+  CASE WHEN count(*) >= 3 AND var_pop(l_quantity) > 0 THEN round(regr_intercept(l_partkey % 100, l_quantity), 6) END AS intercept FROM lineitem GROUP BY l_suppkey"""
 )
 def fit_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1 or l_suppkey % 2 = 0")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     fits = ops.fit_line(rows.select("l_suppkey", F.col("l_quantity").alias("x"), (F.col("l_partkey") % 100).cast("double").alias("y")), ["l_suppkey"])
     return fits.select("l_suppkey", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 

@@ -162,9 +162,12 @@ def onlist_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views(
-        """WITH s AS (SELECT read_id, name, string_split(regexp_replace(split_part(name, ' ', 1), '^@', ''), ':') AS h FROM names)
-SELECT read_id, CASE WHEN len(h) >= 7 THEN h[1] END AS instrument, CASE WHEN len(h) >= 7 THEN h[2] END AS run, CASE WHEN len(h) >= 7 THEN h[3] END AS flowcell,
-  CASE WHEN len(h) >= 7 THEN try_cast(h[4] AS INTEGER) END AS lane, CASE WHEN len(h) >= 7 THEN try_cast(h[5] AS INTEGER) END AS tile, regexp_extract(name, '\\s[12]:[YN]:\\d+:([ACGTN+]+)$', 1) AS "index" FROM s""",
+        """WITH s AS (SELECT read_id, regexp_replace(name, '^@', '') AS name FROM names),
+h AS (SELECT *, regexp_matches(name, '^[SED]RR\\d+\\.\\d+') AS sra, string_split(name, ':') AS h FROM s),
+p AS (SELECT *, NOT sra AND len(h) >= 7 AS parsed, try_cast(h[4] AS INTEGER) AS lane, try_cast(h[5] AS INTEGER) AS tile FROM h)
+SELECT read_id, parsed, sra AS sra_normalized, CASE WHEN parsed THEN h[1] END AS instrument, CASE WHEN parsed THEN h[2] END AS run, CASE WHEN parsed THEN h[3] END AS flowcell,
+  CASE WHEN parsed AND tile IS NOT NULL THEN lane END AS lane, CASE WHEN parsed AND lane IS NOT NULL THEN tile END AS tile,
+  CASE WHEN parsed THEN nullif(regexp_extract(name, '[ /]([ACGTN]{6,})(\\+[ACGTN]{6,})?\\s*$', 1), '') END AS "index" FROM p""",
         "names",
     )
 )
@@ -172,10 +175,12 @@ def read_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "names").select("read_id", sequence.read_name(F.col("name")).alias("n")).select("read_id", "n.*")
 
 
-@query("SELECT p_partkey, CASE WHEN 33 + p_size < 64 THEN 'phred33' WHEN 33 + p_size + p_partkey % 40 > 74 THEN 'phred64' ELSE 'unknown' END AS encoding FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'unknown' WHEN 33 + p_size < 64 THEN 'phred33' WHEN 33 + p_size + p_partkey % 40 > 74 THEN 'phred64' ELSE 'unknown' END AS encoding FROM part")
 def quality_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ninth part has no least quality."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.select("p_partkey", sequence.quality_encoding(33 + F.col("p_size"), 33 + F.col("p_size") + F.col("p_partkey") % 40).alias("encoding"))
+    least = F.when(F.col("p_partkey") % 9 != 0, 33 + F.col("p_size"))
+    return part.select("p_partkey", sequence.quality_encoding(least, 33 + F.col("p_size") + F.col("p_partkey") % 40).alias("encoding"))
 
 
 #: The tag of the queries: an anchor, a UMI of six bases, a motif with one substitution at most.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import records as ops
@@ -20,7 +20,7 @@ SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""",
     )
 )
 def record_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.ancestors(view(spark, sf_dir, "hierarchy"), 3)
+    return ops.ancestors(view(spark, sf_dir, "hierarchy"))
 
 
 @query(
@@ -31,7 +31,7 @@ FROM hierarchy h LEFT JOIN hierarchy e ON h.level = 'run' AND e.accession = h.pa
     )
 )
 def record_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.ancestor_at(view(spark, sf_dir, "hierarchy"), "sample", 3)
+    return ops.ancestor_at(view(spark, sf_dir, "hierarchy"), "sample")
 
 
 def _files(spark: SparkSession, sf_dir: str, claimed: bool) -> DataFrame:
@@ -98,12 +98,31 @@ s AS (SELECT DISTINCT id, array_to_string(w[i:i + 6], ' ') AS s FROM d, unnest(r
 n AS (SELECT id, count(*) AS n, count(k.s) AS shared FROM s LEFT JOIN k USING (s) GROUP BY id)
 SELECT id, n, shared, shared / n AS rate FROM n WHERE shared > 0"""
 )
-def quote_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shared_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
     return ops.shared_shingles(docs, items, 7)
 
 
+@query(
+    r"""WITH b AS (SELECT source || ':' || CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS VARCHAR) AS batch, doc_id, regexp_replace(text, '^[^\p{L}\p{N}_]+', '') AS t FROM documents),
+w AS (SELECT batch, doc_id, list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w, regexp_extract_all(t, '[^\p{L}\p{N}_]+') AS g FROM b),
+s AS (SELECT DISTINCT batch, doc_id, w[i] || g[i] || w[i + 1] || g[i + 1] || w[i + 2] || g[i + 2] || w[i + 3] AS s FROM w, unnest(range(1, len(w) - 2)) AS u(i)),
+c AS (SELECT batch, s, count(*) AS n FROM s GROUP BY batch, s),
+n AS (SELECT batch, sum(n) AS n_spans, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS n_ambiguous FROM c GROUP BY batch)
+SELECT d.batch, d.n_documents, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, CAST(coalesce(n_ambiguous, 0) AS BIGINT) AS n_ambiguous
+FROM (SELECT batch, count(*) AS n_documents FROM b GROUP BY batch) d LEFT JOIN n USING (batch)"""
+)
+def quote_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of eight documents of one source each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    order = docs.select("source", "doc_id", place.alias("place"))  # ranks without the texts
+    batch = F.concat("source", F.lit(":"), F.floor((F.col("place") - 1) / 8).cast("string"))
+    batches = order.select("doc_id", batch.alias("batch"))
+    return ops.quote_residue(docs.select("doc_id", "text").join(batches, "doc_id").select("batch", F.col("doc_id").alias("id"), "text"))
+
+
 @query(
     """WITH n AS (SELECT lower(p_type) AS attribute, lower(p_brand) || CAST(p_size AS VARCHAR) AS synonym FROM part UNION ALL SELECT lower(p_type), lower(p_name) FROM part),
 own AS (SELECT DISTINCT attribute AS key, attribute FROM n)

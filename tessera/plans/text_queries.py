@@ -36,15 +36,16 @@ def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN CAST(p_size AS VARCHAR) || '%' WHEN 2 THEN ' ' || CAST(p_size AS VARCHAR) || '.5 ' ELSE p_name END AS v FROM part)
-SELECT p_partkey, CASE WHEN regexp_matches(trim(v), '^[+-]?\d+$') THEN 'int' WHEN regexp_matches(trim(v), '^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$') THEN 'float' ELSE 'str' END AS kind,
-  CASE WHEN suffix(trim(v), '%') THEN try_cast(rtrim(trim(v), '%') AS DOUBLE) / 100 ELSE try_cast(trim(v) AS DOUBLE) END AS number FROM v"""
+    r"""WITH v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN CAST(p_size AS VARCHAR) || '%' WHEN 2 THEN ' ' || CAST(p_size AS VARCHAR) || '.5 ' ELSE CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN CAST(p_size AS VARCHAR) || '_000' ELSE CASE WHEN p_size % 2 = 0 THEN '-Inf' ELSE 'nan' END END END AS v FROM part)
+SELECT p_partkey, CASE WHEN lower(trim(v)) IN ('-inf', 'nan') THEN 'float' WHEN regexp_matches(trim(v), '^[+-]?\d+(_\d+)*$') THEN 'int' WHEN regexp_matches(trim(v), '^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$') THEN 'float' ELSE 'str' END AS kind,
+  CASE WHEN suffix(trim(v), '%') THEN try_cast(rtrim(trim(v), '%') AS DOUBLE) / 100 WHEN lower(trim(v)) IN ('-inf', 'nan') OR contains(v, '_') THEN NULL ELSE try_cast(trim(v) AS DOUBLE) END AS number FROM v"""
 )
 def value_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     size, place = F.col("p_size").cast("string"), F.col("p_partkey") % 4
-    value = F.when(place == 0, size).when(place == 1, F.concat(size, F.lit("%"))).when(place == 2, F.concat(F.lit(" "), size, F.lit(".5 "))).otherwise(F.col("p_name"))
-    return part.select("p_partkey", fn.value_kind(value).alias("kind"), fn.as_number(value).alias("number"))
+    other = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(size, F.lit("_000"))).when(F.col("p_size") % 2 == 0, "-Inf").otherwise("nan")
+    value = F.when(place == 0, size).when(place == 1, F.concat(size, F.lit("%"))).when(place == 2, F.concat(F.lit(" "), size, F.lit(".5 "))).otherwise(other)
+    return part.select("p_partkey", fn.value_kind(value).alias("kind"), F.when(~F.lower(F.trim(value)).isin("-inf", "nan"), fn.as_number(value)).alias("number"))
 
 
 @query(
@@ -62,9 +63,9 @@ def carried_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views(
-        """WITH x AS (SELECT id, name, regexp_replace(regexp_replace(name, '\\.(fastq|fq)(\\.gz)?$', ''), '_(?:[RI][12]|[1-4])(_001)?$', '') AS stem FROM file_names)
+        """WITH x AS (SELECT id, name, regexp_replace(regexp_replace(name, '\\.(fastq|fq)(\\.gz)?$', ''), '_(?:[RI][12]|[1-4])(_001)?$', '') AS stem, regexp_replace(name, '\\.([Ff][Aa][Ss][Tt][Qq]|[Ff][Qq])(\\.[Gg][Zz])?$', '') AS whole FROM file_names)
 SELECT id, CASE WHEN regexp_matches(name, '^[SED]RR\\d+') THEN regexp_extract(name, '^([SED]RR\\d+)', 1) ELSE regexp_replace(stem, '_L\\d{3}$', '') END AS run, regexp_extract(name, '_(L\\d{3})(?:_|\\.)', 1) AS lane,
-  CASE WHEN regexp_matches(name, '_([RI][12])(?:_|\\.)') THEN regexp_extract(name, '_([RI][12])(?:_|\\.)', 1) WHEN regexp_matches(name, '_([1-4])\\.(?:fastq|fq)') THEN regexp_extract(name, '_([1-4])\\.(?:fastq|fq)', 1) END AS mate,
+  coalesce(nullif(upper(regexp_extract(whole, '[._]([RIri][1-4])([._]\\d{3})?$', 1)), ''), nullif(regexp_extract(whole, '[._]([Rr][Ee][Aa][Dd][-_]?)?([1-4])([._]\\d{3})?$', 2), '')) AS mate,
   CASE WHEN regexp_matches(split_part(name, '_', 1), '^[SED]RR\\d+$') THEN 'run' END AS kind FROM x""",
         "file_names",
     )

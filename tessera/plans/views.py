@@ -16,7 +16,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM (SELECT o_orderkey AS read_id, o_orderstatus AS file, 'ACGTAC' || substr(translate(md5(CAST(o_orderkey % 4000 AS VARCHAR)), {_LETTERS}), 1, CASE WHEN o_orderkey % 5 = 0 THEN 12 ELSE 16 END) || 'TTTTTTTT' AS s FROM orders) t""",
     ),
     "onlist": (["orders"], f"SELECT DISTINCT substr(translate(md5(CAST(o_orderkey % 4000 AS VARCHAR)), {_LETTERS}), 1, 8) AS barcode FROM orders WHERE o_orderkey % 4 <> 0"),
-    "names": (["orders"], "SELECT o_orderkey AS read_id, CASE WHEN o_orderkey % 7 = 0 THEN '@SRR' || CAST(o_orderkey AS VARCHAR) || '.1' ELSE '@INST' || CAST(o_custkey % 4 AS VARCHAR) || ':' || CAST(o_custkey AS VARCHAR) || ':FC' || CAST(o_orderkey % 9 AS VARCHAR) || ':' || CAST(o_orderkey % 8 AS VARCHAR) || ':' || CAST(1000 + o_orderkey % 50 AS VARCHAR) || ':1:2 1:N:0:ACGT+TTTT' END AS name FROM orders"),
+    "names": (["orders"], "SELECT o_orderkey AS read_id, CASE WHEN o_orderkey % 7 = 0 THEN '@SRR' || CAST(o_orderkey AS VARCHAR) || '.1' ELSE '@INST' || CAST(o_custkey % 4 AS VARCHAR) || ':' || CAST(o_custkey AS VARCHAR) || ':FC' || CAST(o_orderkey % 9 AS VARCHAR) || ':' || CAST(o_orderkey % 8 AS VARCHAR) || ':' || CAST(1000 + o_orderkey % 50 AS VARCHAR) || ':1:2 1:N:0' || CASE WHEN o_orderkey % 5 = 0 THEN ' ACGTAC+TTTTTT' ELSE ':ACGT' END END AS name FROM orders"),
     "spans": (["events"], "SELECT event_id, user_id AS contig, event_id * 37 % 100000 AS start, event_id * 37 % 100000 + event_id * 7919 % 400 AS \"end\", event_type FROM events"),
     "umis": (
         ["lineitem"],
@@ -41,7 +41,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "cards": (["customer"], "SELECT c_custkey AS id, 'sample ' || c_name || '. segment: ' || c_mktsegment || '. nation ' || CAST(c_nationkey AS VARCHAR) AS text FROM customer"),
     "depths": (["lineitem"], "SELECT l_suppkey AS sample, l_linenumber AS run, l_returnflag AS file, CASE WHEN l_suppkey % 17 = 0 AND l_linenumber = 3 THEN NULL ELSE count(*) END AS reads FROM lineitem GROUP BY l_suppkey, l_linenumber, l_returnflag"),
     "candidates": (["part"], "SELECT p_partkey, p_brand AS dataset, p_name || '-' || CAST(p_partkey AS VARCHAR) AS name, CAST(p_size * 10 + p_partkey % 7 AS DOUBLE) / 500 AS value, p_partkey % 8 AS rung, p_partkey % 11 = 0 AS hit FROM part"),
-    "file_names": (["orders"], "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'SRR' || CAST(o_orderkey AS VARCHAR) || '_' || CAST(1 + o_orderkey % 2 AS VARCHAR) || '.fastq.gz' WHEN 1 THEN 's' || CAST(o_custkey AS VARCHAR) || '_L00' || CAST(1 + o_orderkey % 4 AS VARCHAR) || '_R1_001.fastq.gz' WHEN 2 THEN 's' || CAST(o_custkey AS VARCHAR) || '_I2.fq' ELSE 'plain_' || CAST(o_orderkey AS VARCHAR) || '.fastq' END AS name FROM orders"),
+    "file_names": (["orders"], "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'SRR' || CAST(o_orderkey AS VARCHAR) || '_' || CAST(1 + o_orderkey % 2 AS VARCHAR) || '.fastq.gz' WHEN 1 THEN 's' || CAST(o_custkey AS VARCHAR) || '_L00' || CAST(1 + o_orderkey % 4 AS VARCHAR) || '_R1_001.fastq.gz' WHEN 2 THEN 's' || CAST(o_custkey AS VARCHAR) || '_I2.fq' ELSE 'plain_' || CAST(o_orderkey AS VARCHAR) || CASE o_orderkey % 5 WHEN 0 THEN '_r1' WHEN 1 THEN '.R3_001' WHEN 2 THEN '_read-2' WHEN 3 THEN '_R1_y_2' ELSE '' END || '.FASTQ' END AS name FROM orders"),
 }
 
 
