@@ -39,14 +39,48 @@ def overlaps(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     return a.join(b, ["contig", "__bin"]).where(meet & once).drop("__bin")
 
 
-def coverage_steps(intervals: DataFrame) -> DataFrame:
-    """A sweep over starts and ends: contig, start, end, depth of every stretch covered at least once."""
+def coverage_steps(intervals: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """A sweep over starts and ends: contig, start, end, depth of every stretch covered at least once.
+
+    Each block of places is swept by itself, from the depth and to the place that its contig's
+    other blocks hand over: only one row a block is ordered by contig."""
     rows = intervals.where("start < end")
     events = rows.select("contig", F.col("start").alias("at"), F.lit(1).alias("d")).union(rows.select("contig", F.col("end").alias("at"), F.lit(-1).alias("d")))
-    events = events.groupBy("contig", "at").agg(F.sum("d").alias("d")).where("d <> 0")
-    order = Window.partitionBy("contig").orderBy("at")
-    steps = events.select("contig", F.col("at").alias("start"), F.lead("at").over(order).alias("end"), F.sum("d").over(order).alias("depth"))
-    return steps.where("depth > 0")
+    events = events.groupBy("contig", "at").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("block", F.floor(F.col("at") / block))
+    blocks = events.groupBy("contig", "block").agg(F.sum("d").alias("d"), F.min("at").alias("first"))
+    by = Window.partitionBy("contig").orderBy("block")
+    carried = F.coalesce(F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("contig", "block", carried.alias("carried"), F.lead("first").over(by).alias("next"))
+    order = Window.partitionBy("contig", "block").orderBy("at")
+    steps = events.select("contig", "block", F.col("at").alias("start"), F.lead("at").over(order).alias("end"), F.sum("d").over(order).alias("depth"))
+    steps = steps.join(blocks, ["contig", "block"])
+    return steps.select("contig", "start", F.coalesce("end", "next").alias("end"), (F.col("depth") + F.col("carried")).alias("depth")).where("depth > 0")
+
+
+def active_sets(intervals: DataFrame, width: int) -> DataFrame:
+    """contig, start, end, genes: every stretch between two ends of (contig, start, end, gene) and the sorted genes over it, commas between."""
+    rows = intervals.where("start < end").select("contig", "start", "end", "gene")
+    ends = rows.select("contig", F.explode(F.array("start", "end")).alias("start")).distinct().withColumn("block", F.floor(F.col("start") / (1 << 20)))
+    by = Window.partitionBy("contig").orderBy("block")
+    blocks = ends.groupBy("contig", "block").agg(F.min("start").alias("first")).select("contig", "block", F.lead("first").over(by).alias("next"))
+    step = F.lead("start").over(Window.partitionBy("contig", "block").orderBy("start"))
+    steps = ends.withColumn("end", step).join(blocks, ["contig", "block"]).select("contig", "start", F.coalesce("end", "next").alias("end")).where("end is not null")
+    over = overlaps(steps, rows, width).groupBy("contig", "start", "end")
+    return over.agg(F.array_join(F.array_sort(F.collect_set(F.col("r_gene").cast("string"))), ",").alias("genes"))
+
+
+def clean_introns(exons: DataFrame, least: int, width: int) -> DataFrame:
+    """contig, gene, start, end: gaps of ``least`` or more between a gene's merged exons that no exon reaches into and no other gene spans.
+
+    exons: contig, start, end, gene, half-open."""
+    parts = merged(exons.select(F.struct("contig", "gene").alias("contig"), "start", "end")).select("contig.contig", "contig.gene", "start", "end")
+    gaps = parts.select("contig", "gene", F.col("end").alias("start"), F.lead("start").over(Window.partitionBy("contig", "gene").orderBy("start")).alias("end"))
+    gaps = gaps.where(F.col("end") - F.col("start") >= least)
+    spans = parts.groupBy("contig", "gene").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    keys = ["contig", "gene", "start", "end"]
+    hit = overlaps(gaps, parts.select("contig", "start", "end"), width).select(keys).distinct()
+    shared = overlaps(gaps, spans, width).where("gene <> r_gene").select(keys).distinct()
+    return gaps.join(hit, keys, "left_anti").join(shared, keys, "left_anti")
 
 
 def fragment_fates(fragments: DataFrame, exons: DataFrame, bodies: DataFrame, width: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import TOKEN, token_skeleton, token_values
+from tessera.scratch import stored
 
 #: How much each basis of a value weighs.
 BASIS_RANK = {"observed": 3, "user_confirmed": 2, "asserted": 1, "inferred": 0}
@@ -15,7 +16,7 @@ def ancestors(records: DataFrame, depth: int | None = None) -> DataFrame:
     """accession, ancestor, distance of (accession, parent) rows, up to the roots or ``depth`` levels above; cycles end where they meet themselves.
 
     A level is a join with the table itself, until a level brings nothing new."""
-    edges = records.where("parent is not null").select("accession", F.col("parent").alias("ancestor")).distinct().persist()
+    edges = stored(records.where("parent is not null").select("accession", F.col("parent").alias("ancestor")).distinct(), "edges")
     up = edges.select(F.col("accession").alias("ancestor"), F.col("ancestor").alias("above"))
     level, out, k = edges.withColumn("distance", F.lit(1)), None, 1
     while True:
@@ -24,7 +25,8 @@ def ancestors(records: DataFrame, depth: int | None = None) -> DataFrame:
         if depth is not None and k > depth:
             break
         level = level.join(up, "ancestor").select("accession", F.col("above").alias("ancestor")).distinct()
-        level = level.join(out.select("accession", "ancestor"), ["accession", "ancestor"], "left_anti").withColumn("distance", F.lit(k)).persist()
+        # a table a level: later plans do not hold the earlier joins
+        level = stored(level.join(out.select("accession", "ancestor"), ["accession", "ancestor"], "left_anti").withColumn("distance", F.lit(k)), "level")
         if level.isEmpty():
             break
     return out.where("accession <> ancestor")

@@ -54,3 +54,22 @@ def junction_totals(junctions: DataFrame) -> DataFrame:
 def write_fragments(fragments: DataFrame, path: str) -> None:
     """Fragments by contig, each file in order of start."""
     fragments.repartitionByRange("contig", "start").sortWithinPartitions("contig", "start", "end", "barcode").write.partitionBy("contig").parquet(path)
+
+
+def read_file_report(spark: SparkSession, path: str) -> DataFrame:
+    """Run inventories as archives give them: tab-separated with a header, all columns as text; blank lines are left out, short rows end in nulls."""
+    rows = spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False, mode="PERMISSIVE")
+    return rows.where(F.coalesce(*(F.col(f"`{c}`") for c in rows.columns)).isNotNull())
+
+
+def report_files(runs: DataFrame) -> DataFrame:
+    """run_accession, url, md5, size of runs whose fastq_ftp, fastq_md5 and fastq_bytes hold lists parted by semicolons.
+
+    Lists are paired by place; addresses and sums of different numbers give no pair at all,
+    sizes of a different number or form 0."""
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = runs.select("run_accession", parts("fastq_ftp").alias("u"), parts("fastq_md5").alias("m"), parts("fastq_bytes").alias("b")).where("size(u) = size(m)")
+    sizes = F.when(F.size("b") == F.size("u"), F.col("b")).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("run_accession", F.explode(F.arrays_zip("u", "m", sizes.alias("b"))).alias("x"))
+    size = F.when(F.col("x.b").rlike(r"^\d+$"), F.col("x.b").try_cast("long"))
+    return rows.select("run_accession", F.concat(F.lit("https://"), "x.u").alias("url"), F.col("x.m").alias("md5"), F.coalesce(size, F.lit(0)).alias("size"))
