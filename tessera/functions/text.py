@@ -74,6 +74,16 @@ def _tenths(n: Column, unit: int) -> Column:
     return F.concat(((t - t % 10) / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"))
 
 
+def one_decimal(x: Column) -> Column:
+    """A double to one place, rounded as printf does: by its binary value, an exact tie to the even tenth."""
+    size = F.abs(x)
+    t = F.floor(size * 10)
+    # both differences are exact: the sign of 20 * size - (2 * t + 1)
+    tie = (size * 16 - (t * 2 + 1)) + size * 4
+    t = t + ((tie > 0) | (tie == 0) & (t % 2 == 1)).cast("long")
+    return F.concat(F.when(x < 0, "-").otherwise(""), ((t - t % 10) / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def short_count(n: Column) -> Column:
     """1.2K, 3.4M or 5.6B; a sign stays."""
     sign, size = F.when(n < 0, "-").otherwise(""), F.abs(n)

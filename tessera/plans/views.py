@@ -4,6 +4,8 @@ Each view is one SELECT that both engines read alike, but for the name of the te
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _LETTERS = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
@@ -39,6 +41,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         UNION ALL SELECT c_custkey, 'band', CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END, 'user_confirmed', 'user', true FROM customer WHERE c_custkey % 5 = 0""",
     ),
     "cards": (["customer"], "SELECT c_custkey AS id, 'sample ' || c_name || '. segment: ' || c_mktsegment || '. nation ' || CAST(c_nationkey AS VARCHAR) AS text FROM customer"),
+    "quotes": (
+        ["customer"],
+        """SELECT id * 3 AS claim, id AS doc, 'segment' AS quote, instr(text, 'segment') - 1 AS start, instr(text, 'segment') + 6 AS "end", true AS per_record FROM (SELECT c_custkey AS id, 'sample ' || c_name || '. segment: ' || c_mktsegment AS text FROM customer) t
+        UNION ALL SELECT c_custkey * 3 + 1, c_custkey, c_mktsegment, 17 + length(c_name) + 2, 17 + length(c_name) + 2 + length(c_mktsegment), true FROM customer
+        UNION ALL SELECT c_custkey * 3 + 2, c_custkey, 'sample', 0, 6, false FROM customer""",
+    ),
     "depths": (["lineitem"], "SELECT l_suppkey AS sample, l_linenumber AS run, l_returnflag AS file, CASE WHEN l_suppkey % 17 = 0 AND l_linenumber = 3 THEN NULL ELSE count(*) END AS reads FROM lineitem GROUP BY l_suppkey, l_linenumber, l_returnflag"),
     "candidates": (["part"], "SELECT p_partkey, p_brand AS dataset, p_name || '-' || CAST(p_partkey AS VARCHAR) AS name, CAST(p_size * 10 + p_partkey % 7 AS DOUBLE) / 500 AS value, p_partkey % 8 AS rung, p_partkey % 11 = 0 AS hit FROM part"),
     "file_names": (["orders"], "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'SRR' || CAST(o_orderkey AS VARCHAR) || '_' || CAST(1 + o_orderkey % 2 AS VARCHAR) || '.fastq.gz' WHEN 1 THEN 's' || CAST(o_custkey AS VARCHAR) || '_L00' || CAST(1 + o_orderkey % 4 AS VARCHAR) || '_R1_001.fastq.gz' WHEN 2 THEN 's' || CAST(o_custkey AS VARCHAR) || '_I2.fq' ELSE 'plain_' || CAST(o_orderkey AS VARCHAR) || CASE o_orderkey % 5 WHEN 0 THEN '_r1' WHEN 1 THEN '.R3_001' WHEN 2 THEN '_read-2' WHEN 3 THEN '_R1_y_2' ELSE '' END || '.FASTQ' END AS name FROM orders"),
@@ -48,16 +56,20 @@ VIEWS: dict[str, tuple[list[str], str]] = {
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The rows of a view; its base tables are read with the columns the SELECT names."""
     tables, sql = VIEWS[name]
-    text = sql.replace("VARCHAR", "STRING").replace('"end"', "`end`")
+    return sql_rows(spark, sf_dir, sql, *tables)
+
+
+def sql_rows(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """The rows of a SELECT that both engines read alike, over these tables."""
+    text = re.sub(r'"(end|case)"', r"`\1`", sql.replace("VARCHAR", "STRING"))
     args = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    text = text.replace("{component}", "{{component}}")
     for t in tables:
         text = _named(text, t)
     return spark.sql(text, **args)
 
 
 def _named(sql: str, table: str) -> str:
-    import re
-
     return re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", sql)
 
 
