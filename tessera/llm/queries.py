@@ -14,6 +14,7 @@ from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.records import records_round_trip
 from tessera.llm.sharding import shard_documents
+from tessera.llm.simhash import simhash_components
 from tessera.llm.token_counts import token_counts
 
 
@@ -61,11 +62,15 @@ def op10_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_tiles(_table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"), width=3, most=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_token_counts, op3_decontamination, op4_token_records, op5_sharding, op6_html_extraction,
-        op7_license_scan, op8_near_duplicates, op9_language_id, op10_media_tiles,
+        op7_license_scan, op8_near_duplicates, op9_language_id, op10_media_tiles, op12_simhash,
     )
 }
 
