@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, licenses
+from tessera.llm import conversations, decontam, licenses, negatives
 from tessera.llm.html import extract_text
 from tessera.llm.langid import identify_languages
 from tessera.llm.media import text_tiles
@@ -62,17 +62,30 @@ def op10_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_tiles(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), width=3, most=3)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine_negatives(_table(spark, sf_dir, "embeddings"), positives=5, negatives=3, least=50, most=95, shift=(7, 10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_token_counts, op3_decontamination, op4_token_records, op5_sharding, op6_html_extraction,
-        op7_license_scan, op8_near_duplicates, op9_language_id, op10_media_tiles, op12_simhash,
+        op7_license_scan, op8_near_duplicates, op9_language_id, op10_media_tiles, op11_conversation_repair, op12_simhash, op13_hard_negatives,
     )
 }
 
-#: The others need a tokenizer, minhashes, random draws, HTML or a trained model.
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontam.ORACLE_SQL, "op7_license_scan": licenses.ORACLE_SQL}
+#: The others need a tokenizer, minhashes, random draws, HTML, XXH64 or a trained model.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontam.ORACLE_SQL,
+    "op7_license_scan": licenses.ORACLE_SQL,
+    "op11_conversation_repair": conversations.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
+}
