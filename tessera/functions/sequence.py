@@ -73,6 +73,38 @@ def motif_mismatches(seq: Column, motif: str, start: int) -> Column:
     return F.when(clean, out)
 
 
+def motif_found(seq: Column, motif: str, where: str = "anywhere", start: int = 0, end: int | None = None, most: int = 1) -> Column:
+    """Whether a read has an IUPAC motif, with ``most`` substitutions or fewer, where it is looked for; null if the read can't tell.
+
+    where: read_start, read_end, window (beginning at ``start`` to ``end``) or anywhere. A read shorter than the
+    motif can't tell. An uncalled base at a constrained place loses the places it touches: all of them under
+    read_start, read_end and a closed window, which are one claim; of an open search only those, and the read can't tell
+    when none is left. A read that a declared window does not fit has not got the motif."""
+    held = [(k, IUPAC[letter]) for k, letter in enumerate(motif) if letter != "N"]
+    last = F.length(seq) - len(motif)
+    closed = where in ("read_start", "read_end") or where == "window" and end is not None
+    low = {"read_start": F.lit(0), "read_end": last, "window": F.lit(start)}.get(where, F.lit(0))
+    high = {"read_start": F.lit(0), "read_end": last, "window": last if end is None else F.least(F.lit(end), last)}.get(where, last)
+    base = lambda p, k: F.substring(seq, p + (k + 1), 1)
+
+    def clean(p: Column) -> Column:
+        out = F.lit(True)
+        for k, _ in held:
+            out &= base(p, k).isin(*BASES)
+        return out
+
+    def near(p: Column) -> Column:
+        wrong = F.lit(0)
+        for k, letters in held:
+            wrong = wrong + F.when(base(p, k).isin(*letters), 0).otherwise(1)
+        return wrong <= most
+
+    places = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    good = F.filter(places, clean)
+    lost = (F.size(places) > 0) & ((F.size(good) == 0) | (F.lit(closed) & (F.size(good) < F.size(places))))
+    return F.when((last >= 0) & F.lit(len(motif) > 0) & ~lost, F.exists(good, near))
+
+
 def tag_match(seq: Column, anchor: str, trailing: str, *, start: int, umi: tuple[int, int], trail: int, cdna: int, drift: int = 24, most: int = 1) -> Column:
     """struct(start, umi) of the leftmost tag of a read; null without one, or without a read.
 

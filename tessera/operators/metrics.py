@@ -111,34 +111,6 @@ def greedy_batches(rows: DataFrame, most_rows: int, most_chars: int) -> DataFram
     return rows.groupBy("key").applyInPandas(run, schema)
 
 
-def best_assignment(scores: DataFrame) -> DataFrame:
-    """dataset, role, file: the injective map of roles to files of most score; forbidden pairs (null value) never match.
-
-    scores: dataset, role, file, value. A dataset is a handful of roles and files. The map of
-    most roles wins, then of most score, then the first in order of files."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        roles, files = sorted(pdf["role"].unique()), sorted(pdf["file"].unique())
-        value = {(r, f): v for r, f, v in zip(pdf["role"], pdf["file"], pdf["value"], strict=True) if not (v is None or math.isnan(v))}
-        best: dict[int, tuple[int, float, tuple]] = {0: (0, 0.0, ())}  # by the set of files used
-        for r in roles:
-            after: dict[int, tuple[int, float, tuple]] = {}
-            for used, (n, total, chosen) in best.items():
-                ways = [(used, n, total, (*chosen, ""))] + [(used | 1 << k, n + 1, total + value[r, f], (*chosen, f)) for k, f in enumerate(files) if not used >> k & 1 and (r, f) in value]
-                for u, m, t, c in ways:
-                    held = after.get(u)
-                    if held is None or (m, round(t, 9)) > held[:2] or (m, round(t, 9)) == held[:2] and c < held[2]:
-                        after[u] = (m, round(t, 9), c)
-            best = after
-        top = min(best.values(), key=lambda b: (-b[0], -b[1], b[2]))
-        pairs = [(r, f) for r, f in zip(roles, top[2], strict=True) if f]
-        if not pairs:
-            return pdf.loc[:, ["dataset", "role", "file"]].iloc[:0]
-        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]] * len(pairs), "role": [r for r, _ in pairs], "file": [f for _, f in pairs]})
-
-    return scores.groupBy("dataset").applyInPandas(run, f"dataset {scores.schema['dataset'].dataType.simpleString()}, role string, file string")
-
-
 def attribute_table(claims: DataFrame, preferred: list[str]) -> DataFrame:
     """A row per sample and a column per attribute, preferred ones first, the rest sorted; the least value where several differ."""
     seen = sorted(r["attribute"] for r in claims.select("attribute").distinct().collect())  # a curated vocabulary: column names

@@ -79,9 +79,14 @@ def homopolymer_segment(cycles: DataFrame, base: str, start: int, end: int | Non
 
 
 def distinct_test(reads: DataFrame, start: int, end: int, expect: str) -> DataFrame:
-    """Distinct windows by windows, expected low or high: depends on depth, so it scores but always abstains."""
+    """Distinct windows by windows, expected low or high."""
+    return distinct_verdict(distinct_ratio(reads, start, end), expect)
+
+
+def distinct_verdict(ratios: DataFrame, expect: str) -> DataFrame:
+    """Files' ratios (file, ratio) against an expectation: depends on depth, so it scores but always abstains."""
     ratio = F.col("ratio")
-    rows = distinct_ratio(reads, start, end).select(*_evaluation("file", ratio, F.lit(True), clipped(1 - ratio if expect == "low" else ratio)))
+    rows = ratios.select(*_evaluation("file", ratio, F.lit(True), clipped(1 - ratio if expect == "low" else ratio)))
     return rows.withColumn("outcome", F.lit("abstain"))
 
 

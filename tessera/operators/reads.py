@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.sequence import BASES, dominant, entropy_bits, hamming, motif_mismatches, reverse_complement, tag_match, window
+from tessera.functions.sequence import BASES, dominant, entropy_bits, hamming, motif_found, motif_mismatches, reverse_complement, tag_match, window
 
 PURE = 0.9  # share of one base from which a cycle counts as pure
 HOMOPOLYMER = 4  # cycles of one base in a row
@@ -103,14 +103,20 @@ def motif_rate(reads: DataFrame, motif: str, start: int, mismatches: int = 1) ->
     return reads.groupBy("file").agg(F.count(hit).alias("n"), F.avg(hit).alias("rate"))
 
 
-def onlist_hit_rate(reads: DataFrame, onlist: DataFrame, start: int, width: int, drift: int = 2) -> DataFrame:
+def motif_search(reads: DataFrame, motif: str, where: str = "anywhere", start: int = 0, end: int | None = None, most: int = 1) -> DataFrame:
+    """Per file: n (reads that can tell) and rate (the share of them with the motif, see ``motif_found``); null without any."""
+    hit = motif_found(F.col("seq"), motif, where, start, end, most).cast("double")
+    return reads.groupBy("file").agg(F.count(hit).alias("n"), F.avg(hit).alias("rate"))
+
+
+def onlist_hit_rate(reads: DataFrame, onlist: DataFrame, start: int, width: int, drift: int = 2, strands: tuple[str, ...] | list[str] = ("forward", "revcomp")) -> DataFrame:
     """Per file: the best share of windows in a list over strands and offsets.
 
     onlist: distinct barcodes (barcode). Windows with an uncalled base leave the denominator.
     The first best wins: forward before reverse complement, then the least offset. Every read
     is looked up at 2 * (2 * drift + 1) places, whatever the list's size."""
-    places = [(strand, offset) for strand in (0, 1) for offset in range(-drift, drift + 1)]
-    cut = F.array(*(F.struct(F.lit(k).alias("place"), (w if not strand else reverse_complement(w)).alias("barcode")) for k, (strand, offset) in enumerate(places) if start + offset >= 0 for w in [window(F.col("seq"), start + offset, start + offset + width)]))
+    places = [(strand * (2 * drift + 1) + offset + drift, strand, offset) for strand in range(2) if ("forward", "revcomp")[strand] in strands for offset in range(-drift, drift + 1)]
+    cut = F.array(*(F.struct(F.lit(k).alias("place"), (w if not strand else reverse_complement(w)).alias("barcode")) for k, strand, offset in places if start + offset >= 0 for w in [window(F.col("seq"), start + offset, start + offset + width)]))
     tried = reads.select("file", F.explode(cut).alias("x")).select("file", "x.place", "x.barcode").where(F.col("barcode").rlike("^[ACGT]+$"))
     # the distinct windows of each place, before the join
     tried = tried.groupBy("file", "place", "barcode").count()

@@ -117,13 +117,6 @@ def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.greedy_batches(rows.select(F.col("conv_id").alias("key"), F.col("turn").alias("ordinal"), F.md5("text").alias("sha"), F.length("text").alias("chars")), 4, 2000)
 
 
-@query()  # as above
-def best_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    scores = rows.select(F.col("o_custkey").alias("dataset"), F.concat(F.lit("role"), (F.col("o_orderkey") % 4).cast("string")).alias("role"), F.concat(F.lit("file"), (F.crc32(F.col("o_orderkey").cast("string").cast("binary")) % 5).cast("string")).alias("file"), (F.col("o_orderkey") % 1000).alias("value"))
-    return ops.best_assignment(scores.groupBy("dataset", "role", "file").agg(F.max("value").cast("double").alias("value")))
-
-
 @query(
     with_views(
         "SELECT subject AS sample, min(value) FILTER (attribute = 'segment') AS segment, min(value) FILTER (attribute = 'band') AS band, min(value) FILTER (attribute = 'nation') AS nation FROM claims GROUP BY subject",

@@ -18,6 +18,14 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM (SELECT o_orderkey AS read_id, o_orderstatus AS file, 'ACGTAC' || substr(translate(md5(CAST(o_orderkey % 4000 AS VARCHAR)), {_LETTERS}), 1, CASE WHEN o_orderkey % 5 = 0 THEN 12 ELSE 16 END) || 'TTTTTTTT' AS s FROM orders) t""",
     ),
     "onlist": (["orders"], f"SELECT DISTINCT substr(translate(md5(CAST(o_orderkey % 4000 AS VARCHAR)), {_LETTERS}), 1, 8) AS barcode FROM orders WHERE o_orderkey % 4 <> 0"),
+    # barcode, linker, barcode, linker, UMI and tail behind 0 to 3 inserted bases; some reads cut short, garbled, or uncalled at a place
+    "staggered": (
+        ["orders"],
+        f"""SELECT read_id, file, CASE WHEN read_id % 17 = 0 THEN substr(s, 1, 24) WHEN read_id % 19 = 0 THEN translate(s, 'GT', 'CA') WHEN read_id % 13 = 0 THEN substr(s, 1, 5) || 'N' || substr(s, 7) WHEN read_id % 11 = 0 THEN substr(s, 1, 10) || 'N' || substr(s, 12) ELSE s END AS seq
+        FROM (SELECT o_orderkey AS read_id, o_orderstatus AS file, substr('ACG', 1, CAST(o_orderkey % 4 AS INT)) || substr(translate(md5(CAST(o_orderkey % 50 AS VARCHAR)), {_LETTERS}), 1, 8) || CASE o_orderkey % 7 WHEN 0 THEN 'GTCA' ELSE 'GTGA' END
+          || substr(translate(md5(CAST(o_orderkey % 50 AS VARCHAR)), {_LETTERS}), 9, 8) || 'GACA' || substr(translate(md5(CAST(o_orderkey AS VARCHAR)), {_LETTERS}), 1, 6) || 'TTTTTT' AS s FROM orders) t""",
+    ),
+    "bead_list": (["orders"], f"SELECT DISTINCT substr(translate(md5(CAST(o_orderkey % 50 AS VARCHAR)), {_LETTERS}), 1, 8) AS barcode FROM orders WHERE o_orderkey % 5 <> 0"),
     "names": (["orders"], "SELECT o_orderkey AS read_id, CASE WHEN o_orderkey % 7 = 0 THEN '@SRR' || CAST(o_orderkey AS VARCHAR) || '.1' ELSE '@INST' || CAST(o_custkey % 4 AS VARCHAR) || ':' || CAST(o_custkey AS VARCHAR) || ':FC' || CAST(o_orderkey % 9 AS VARCHAR) || ':' || CAST(o_orderkey % 8 AS VARCHAR) || ':' || CAST(1000 + o_orderkey % 50 AS VARCHAR) || ':1:2 1:N:0' || CASE WHEN o_orderkey % 5 = 0 THEN ' ACGTAC+TTTTTT' ELSE ':ACGT' END END AS name FROM orders"),
     "spans": (["events"], "SELECT event_id, user_id AS contig, event_id * 37 % 100000 AS start, event_id * 37 % 100000 + event_id * 7919 % 400 AS \"end\", event_type FROM events"),
     "umis": (

@@ -46,23 +46,6 @@ def test_layers_correct_the_union(spark):
     assert got == {"exon": 1, "intron": 1, "all": 1}
 
 
-def test_best_assignment(spark):
-    rng = random.Random(6)
-    rows, want = [], []
-    for d in range(25):
-        roles, files = ["a", "b", "c"][: rng.randrange(1, 4)], ["w", "x", "y", "z"][: rng.randrange(1, 5)]
-        value = {(r, f): rng.choice([None, rng.randrange(10) / 10]) for r in roles for f in files}
-        rows += [(d, r, f, v) for (r, f), v in value.items()]
-        maps = []
-        for chosen in itertools.product([*files, ""], repeat=len(roles)):
-            used = [f for f in chosen if f]
-            if len(set(used)) == len(used) and all(not f or value[r, f] is not None for r, f in zip(roles, chosen, strict=True)):
-                maps.append((-len(used), -round(sum(value[r, f] for r, f in zip(roles, chosen, strict=True) if f), 9), chosen))
-        want += [(d, r, f) for r, f in zip(roles, min(maps)[2], strict=True) if f]
-    got = metrics.best_assignment(spark.createDataFrame(rows, "dataset long, role string, file string, value double"))
-    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
-
-
 def test_greedy_batches(spark):
     rows = [("k", i, sha, n) for i, (sha, n) in enumerate([("a", 10), ("b", 10), ("a", 10), ("c", 90), ("d", 20), ("e", 1), ("f", 1), ("g", 1)])] + [("l", 0, "a", 999)]
     got = metrics.greedy_batches(spark.createDataFrame(rows, "key string, ordinal long, sha string, chars long"), 3, 100)
