@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import TOKEN, token_skeleton, token_values
-from tessera.operators.spans import on_token_boundary
+from tessera.functions.normalize import normalized
+from tessera.operators.spans import find_span, on_token_boundary
 
 
 def token_spans(texts: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def variant_texts(texts: DataFrame) -> DataFrame:
 
 
 def fanned_claims(claims: DataFrame, texts: DataFrame) -> DataFrame:
-    """claim, doc, start, fanned of claims (claim, doc, quote, start, end, per_record) on texts (id, text).
+    """claim, doc, start, end, fanned of claims (claim, doc, quote, start, end, per_record) on texts (id, text).
 
     Every claim holds of its own document. One on a group's exemplar whose quote touches no
     varying token holds of all members: where it is meant per record, it has a row for each,
@@ -57,19 +58,19 @@ def fanned_claims(claims: DataFrame, texts: DataFrame) -> DataFrame:
     heads = groups.where("id = exemplar").select(F.col("exemplar").alias("doc"), F.lit(True).alias("head"))
     spoken = claims.where("start is not null and end is not null").join(touched, "claim", "left_anti").join(heads, "doc", "left_semi")
     members = groups.where("id <> exemplar").select(F.col("exemplar").alias("doc"), "id", "text")
-    at = F.call_function("locate", F.col("quote"), F.col("text")) - 1
-    others = spoken.where("per_record").join(members, "doc").select("claim", F.col("id").alias("doc"), at.alias("start"), F.lit(True).alias("fanned")).where("start >= 0")
+    there = spoken.where("per_record").join(members, "doc").select("claim", "id", find_span(F.col("text"), F.col("quote")).alias("span"))
+    others = there.where("span.start is not null").select("claim", F.col("id").alias("doc"), "span.start", "span.end", F.lit(True).alias("fanned"))
     reach = spoken.select("claim", F.lit(True).alias("fanned")).distinct()
-    own = claims.join(reach, "claim", "left").select("claim", "doc", F.col("start").cast("int").alias("start"), F.coalesce("fanned", F.lit(False)).alias("fanned"))
+    own = claims.join(reach, "claim", "left").select("claim", "doc", *(F.col(c).cast("int").alias(c) for c in ("start", "end")), F.coalesce("fanned", F.lit(False)).alias("fanned"))
     return own.union(others)
 
 
 def declared_spans(texts: DataFrame, attributes: DataFrame) -> DataFrame:
     """id, start, end, attribute of (id, text) and (id, attribute, value): where a text holds a value of its own record's columns as whole tokens.
 
-    A span that several columns declare comes once, under the least of their names; empty and
-    null values declare nothing. Ids of ``texts`` are unique."""
-    wanted = attributes.where("value <> ''").select("id", "attribute", "value").distinct()
+    Values are made canonical first, as the texts are. A span that several columns declare comes once, under the greatest of
+    their names; empty and null values declare nothing. Ids of ``texts`` are unique."""
+    wanted = attributes.select("id", "attribute", normalized(F.col("value")).alias("value")).where("value <> ''").distinct()
     # the text is parted in front of every occurrence, overlapping ones included
     ahead = F.concat(F.lit(r"(?=\Q"), F.replace("value", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
     rows = texts.join(wanted, "id").where(F.contains("text", F.col("value")))
@@ -80,4 +81,4 @@ def declared_spans(texts: DataFrame, attributes: DataFrame) -> DataFrame:
     spans = places.join(texts, "id").withColumn("end", F.col("start") + F.length("value"))
     spans = spans.where(F.substring("text", F.col("start").cast("int") + 1, F.length("value")) == F.col("value"))
     spans = spans.where(on_token_boundary(F.col("text"), F.col("start").cast("int"), F.col("end").cast("int")))
-    return spans.groupBy("id", "start", "end").agg(F.min("attribute").alias("attribute"))
+    return spans.groupBy("id", "start", "end").agg(F.max("attribute").alias("attribute"))

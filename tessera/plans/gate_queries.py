@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import gates, spans
+from tessera.operators import gates, spans, variants
 from tessera.plans.registry import query
+from tessera.plans.views import view, with_views
+
+#: The quote q as a pattern in which any white space fits white space.
+PATTERN = r"""regexp_replace(regexp_replace(trim(regexp_replace(q, '[ \t\n\r\f\v]+', ' ', 'g')), '([\\.\[\]{}()*+?^$|])', '\\\1', 'g'), ' ', '\\s+', 'g')"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,35 +19,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @query(
-    r"""WITH q AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN substr(text, 11, 20) WHEN 1 THEN replace(substr(text, 11, 20), ' ', '  ') ELSE 'no such quote' END AS q FROM documents),
-e AS (SELECT doc_id, CASE WHEN q <> '' THEN strpos(text, q) ELSE 0 END AS pos, regexp_replace(regexp_replace(trim(regexp_replace(q, '[ \t\n\r\f\v]+', ' ', 'g')), '([\\.\[\]{}()*+?^$|])', '\\\1', 'g'), ' ', '\\s+', 'g') AS p, text, q FROM q)
-SELECT doc_id, CAST(CASE WHEN pos > 0 THEN pos - 1 WHEN trim(q) <> '' AND regexp_matches(text, p) THEN length(regexp_extract(text, '(?s)^(.*?)' || p, 1)) END AS INTEGER) AS start, CASE WHEN pos > 0 THEN 'exact' WHEN trim(q) <> '' AND regexp_matches(text, p) THEN 'flexible' END AS how FROM e"""
+    with_views(
+        rf"""WITH e AS (SELECT doc_id, text, q, trim(regexp_replace(q, '[ \t\n\r\f\v]+', ' ', 'g')) AS tight, {PATTERN} AS p FROM quoted),
+h AS (SELECT *, CASE WHEN tight = '' THEN NULL WHEN contains(text, q) THEN 'exact' WHEN contains(text, tight) THEN 'squashed' WHEN regexp_matches(text, p) THEN 'flexible' END AS how FROM e),
+s AS (SELECT *, CASE how WHEN 'exact' THEN strpos(text, q) - 1 WHEN 'squashed' THEN strpos(text, tight) - 1 WHEN 'flexible' THEN length(regexp_extract(text, '(?s)^(.*?)(' || p || ')', 1)) END AS start FROM h)
+SELECT doc_id, CAST(start AS INT) AS start, CAST(start + CASE how WHEN 'exact' THEN length(q) WHEN 'squashed' THEN length(tight) ELSE length(regexp_extract(text, '(?s)^(.*?)(' || p || ')', 2)) END AS INT) AS "end", how FROM s""",
+        "quoted",
+    )
 )
 def quote_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.substring("text", 11, 20)
-    quote = F.when(F.col("doc_id") % 3 == 0, part).when(F.col("doc_id") % 3 == 1, F.replace(part, F.lit(" "), F.lit("  "))).otherwise("no such quote")
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", quote.alias("quote"))
-    return rows.select("doc_id", spans.find_span(F.col("text"), F.col("quote")).alias("s")).select("doc_id", "s.*")
+    rows = view(spark, sf_dir, "quoted").select("doc_id", spans.find_span(F.col("text"), F.col("q")).alias("s"))
+    return rows.select("doc_id", "s.*")
 
 
 @query(
-    """WITH d AS (SELECT doc_id AS draft, CASE WHEN doc_id % 11 = 0 THEN -doc_id ELSE doc_id END AS doc, CASE WHEN doc_id % 5 = 0 THEN 'secret' ELSE 'topic' END AS field, CASE WHEN doc_id % 4 = 0 THEN 'zzz' ELSE substr(text, 12, 4) END AS value,
-  CASE WHEN doc_id % 7 = 0 THEN 'not in any text' ELSE substr(text, 11, 20) END AS quote FROM documents)
-SELECT draft, CASE WHEN doc < 0 OR doc % 11 = 0 AND draft > 0 AND doc NOT IN (SELECT doc_id FROM documents) THEN 'unknown_document' WHEN field = 'secret' THEN 'not_permitted' WHEN quote IN ('not in any text', '') THEN 'span_not_found'
-  WHEN NOT contains(lower(trim(regexp_replace(quote, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), lower(trim(regexp_replace(value, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))) THEN 'not_entailed' ELSE 'verified' END AS reason FROM d"""
+    with_views(
+        r"""WITH x AS (SELECT d.*, a.text, CASE WHEN contains(a.text, quote) THEN instr(a.text, quote) - 1 WHEN contains(a.text, replace(quote, '  ', ' ')) THEN instr(a.text, replace(quote, '  ', ' ')) - 1 END AS start,
+  length(CASE WHEN contains(a.text, quote) THEN quote ELSE replace(quote, '  ', ' ') END) AS n, instr(a.text, segment) - 1 AS k FROM drafts d LEFT JOIN cards a ON a.id = d.doc)
+SELECT draft, CASE WHEN field = 'secret' THEN 'field_not_permitted' WHEN text IS NOT NULL AND field = 'steer' THEN 'field_not_permitted_for_doc' WHEN text IS NULL THEN 'unknown_document' WHEN start IS NULL THEN 'span_not_found'
+    WHEN start >= k AND start + n <= k + length(segment) THEN 'quote_is_a_typed_column' WHEN NOT (contains(lower(quote), lower(value)) OR field = 'kind' AND value = 'MAKER' AND contains(quote, 'BUILDING')) THEN 'not_entailed'
+    WHEN field = 'kind' AND value NOT IN ('BUILDING', 'MACHINERY', 'MAKER') THEN 'not_in_vocabulary' ELSE 'verified' END AS reason,
+  CAST(start AS INT) AS start, CAST(start + n AS INT) AS "end", CASE WHEN start >= k AND start + n <= k + length(segment) THEN 'segment' END AS "column" FROM x""",
+        "drafts",
+        "cards",
+    )
 )
 def verified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, k = _table(spark, sf_dir, "documents"), F.col("doc_id")
-    drafts = docs.select(k.alias("draft"), F.when(k % 11 == 0, -k).otherwise(k).alias("doc"), F.when(k % 5 == 0, "secret").otherwise("topic").alias("field"), F.when(k % 4 == 0, "zzz").otherwise(F.substring("text", 12, 4)).alias("value"), F.when(k % 7 == 0, "not in any text").otherwise(F.substring("text", 11, 20)).alias("quote"))
-    documents = docs.select(k.alias("doc"), F.lit("paper").alias("role"), "text").where("doc % 11 <> 0 or doc = 0")
-    return spans.verified_claims(drafts, documents, spark.range(1).select(F.lit("paper").alias("role"), F.lit("topic").alias("field")))
+    """Drafted claims on customers' cards, each of which types its market segment into a column of its own."""
+    cards, drafts = view(spark, sf_dir, "cards"), view(spark, sf_dir, "drafts")
+    customer = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("segment").alias("attribute"), F.col("c_mktsegment").alias("value"))
+    documents = cards.select(F.col("id").alias("doc"), F.lit("reference").alias("role"), F.lit("sample").alias("scope"), "text")
+    permitted = spark.createDataFrame([("reference", "sample", "kind"), ("reference", "sample", "topic"), ("instruction", "dataset", "steer")], "role string, scope string, field string")
+    forms = spark.createDataFrame([("kind", "MAKER", "BUILDING")], "field string, value string, form string")
+    vocabulary = spark.createDataFrame([("kind", w) for w in ("BUILDING", "MACHINERY", "MAKER")], "field string, form string")
+    return spans.verified_claims(drafts.drop("segment"), documents, permitted, declared=variants.declared_spans(cards, customer), forms=forms, vocabulary=vocabulary)
 
 
 @query(
     """WITH o AS (SELECT conv_id AS doc, turn AS page, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - 2 AS e, length(text) AS n FROM conversations),
 p AS (SELECT doc, page, CAST(e - n AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM o),
 s AS (SELECT DISTINCT conv_id AS span, conv_id AS doc, conv_id * 31 % 400 AS pos FROM conversations)
-SELECT span, arg_max(page, start) AS page FROM s JOIN p USING (doc) WHERE start <= pos GROUP BY span"""
+SELECT span, CASE WHEN pos < e THEN page END AS page FROM (SELECT span, pos, arg_max(page, start) AS page, arg_max("end", start) AS e FROM s LEFT JOIN p ON p.doc = s.doc AND start <= pos GROUP BY span, pos)"""
 )
 def page_of_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations")

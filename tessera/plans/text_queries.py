@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as fn
+from tessera.functions import normalize, text as fn
+from tessera.operators import spans
 from tessera.plans.registry import query
 from tessera.plans.views import view, with_views
 
@@ -84,3 +85,29 @@ def graded_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     bar = F.when(F.col("s_suppkey") % 10 != 0, 5000.0)
     return rows.select("s_suppkey", fn.grade(F.col("s_acctbal"), bar, F.lit(1000.0)).alias("balance"), fn.grade(F.col("s_nationkey"), F.lit(5), F.lit(15), higher_is_better=False).alias("nation"), fn.hashed_key("supplier", F.col("s_suppkey").cast("string"), F.col("s_name")).alias("digest"))
+
+
+#: The steps that SQL can say; the documents hold no compatibility forms for it to miss.
+CANONICAL = r"""WITH s1 AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM rough),
+s2 AS (SELECT doc_id, replace(replace(replace(replace(t, 'ﬁ', 'fi'), chr(173), ''), chr(160), ' '), '—', '-') AS t FROM s1),
+s3 AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([A-Za-z])-\n([A-Za-z])', '\1\2', 'g'), '([A-Za-z])-\n([A-Za-z])', '\1\2', 'g') AS t FROM s2),
+s4 AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1-\2', 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1-\2', 'g') AS t FROM s3),
+s5 AS (SELECT doc_id, replace(regexp_replace(regexp_replace(t, '\n[ \t]*\n+', chr(1), 'g'), '[ \t]*\n[ \t]*', ' ', 'g'), chr(1), chr(10) || chr(10)) AS t FROM s4),
+canonical AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM s5)"""
+
+
+@query(with_views(CANONICAL + " SELECT doc_id, t AS text, CAST(length(t) AS INT) AS n_chars FROM canonical", "rough"))
+def canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "rough").select("doc_id", normalize.normalized(F.col("text")).alias("text"))
+    return rows.select("doc_id", "text", F.length("text").alias("n_chars"))
+
+
+@query(with_views(CANONICAL + """ SELECT doc_id, CAST(instr(t, q) - 1 AS INT) AS start, t = '' OR q <> '' AS found, CAST(1 AS INT) AS agrees FROM (SELECT doc_id, t, substr(t, length(t) // 2 + 1, 30) AS q FROM canonical)""", "rough"))
+def canonical_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of canonical texts and their places in the source, whose own words, made canonical, are the quote again."""
+    rows = view(spark, sf_dir, "rough").select("doc_id", "text", normalize.mapped(F.col("text")).alias("c"))
+    middle = F.floor(F.length("c.text") / 2).cast("int")
+    rows = rows.withColumn("q", F.substring(F.col("c.text"), middle + 1, F.lit(30)))
+    rows = rows.withColumn("span", spans.find_span(F.col("c.text"), F.col("q"))).withColumn("source", normalize.source_span(F.col("c.map"), F.col("span.start"), F.col("span.end")))
+    again = normalize.normalized(F.substring(F.col("text"), F.col("source.start") + 1, F.col("source.end") - F.col("source.start")))
+    return rows.select("doc_id", F.col("span.start").alias("start"), (F.col("span.how") == "exact").alias("found"), F.when(F.contains(again, F.btrim("q", F.lit(" \n"))), 1).otherwise(0).alias("agrees"))

@@ -50,21 +50,21 @@ def variant_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_views(
         f"""WITH {GROUPED}, ok AS (SELECT * FROM quotes q WHERE doc IN (SELECT exemplar FROM grp) AND NOT EXISTS (SELECT 1 FROM var WHERE exemplar = q.doc AND var.start < q."end" AND q.start < var."end"))
-SELECT claim, doc, start, claim IN (SELECT claim FROM ok) AS fanned FROM quotes
-UNION ALL SELECT claim, grp.id, instr(text, quote) - 1, true FROM ok JOIN grp ON exemplar = doc WHERE per_record AND grp.id <> exemplar AND contains(text, quote)""",
+SELECT claim, doc, start, "end", claim IN (SELECT claim FROM ok) AS fanned FROM quotes
+UNION ALL SELECT claim, grp.id, instr(text, quote) - 1, instr(text, quote) - 1 + length(quote), true FROM ok JOIN grp ON exemplar = doc WHERE per_record AND grp.id <> exemplar AND contains(text, quote)""",
         "cards", "quotes",
     )
 )
 def fanned_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = variants.fanned_claims(view(spark, sf_dir, "quotes"), view(spark, sf_dir, "cards"))
-    return out.withColumn("start", F.col("start").cast("long"))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
 
 
 @query(
     with_views(
         r"""WITH a AS (SELECT c_custkey AS id, 'segment' AS attribute, c_mktsegment AS value FROM customer UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR) FROM customer UNION ALL SELECT c_custkey, 'band', c_mktsegment FROM customer),
 o AS (SELECT id, attribute, i - 1 AS start, i - 1 + length(value) AS "end", substr(text, i - 1, 2) AS l, substr(text, i + length(value) - 1, 2) AS r, i FROM cards JOIN a USING (id), unnest(range(1, length(text) + 1)) AS u(i) WHERE substr(text, i, length(value)) = value)
-SELECT id, start, "end", min(attribute) AS attribute FROM o WHERE NOT (i > 1 AND regexp_full_match(l, '[\p{L}\p{N}_]{2}')) AND NOT regexp_full_match(r, '[\p{L}\p{N}_]{2}') GROUP BY id, "end", start""",
+SELECT id, start, "end", max(attribute) AS attribute FROM o WHERE NOT (i > 1 AND regexp_full_match(l, '[\p{L}\p{N}_]{2}')) AND NOT regexp_full_match(r, '[\p{L}\p{N}_]{2}') GROUP BY id, "end", start""",
         "cards",
     )
 )

@@ -55,6 +55,18 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         UNION ALL SELECT c_custkey * 3 + 1, c_custkey, c_mktsegment, 17 + length(c_name) + 2, 17 + length(c_name) + 2 + length(c_mktsegment), true FROM customer
         UNION ALL SELECT c_custkey * 3 + 2, c_custkey, 'sample', 0, 6, false FROM customer""",
     ),
+    # documents as a bad extraction gives them: wrapped and hyphenated lines, ligatures, curly marks, odd spaces, blank lines of spaces
+    "rough": (
+        ["documents"],
+        """SELECT doc_id, '  3-' || chr(10) || 'prime' || chr(9) || chr(9) || 'kit ' || chr(10) || chr(10) || replace(replace(replace(replace(replace(replace(text, ' the ', ' t' || chr(173) || 'he' || chr(160) || ' '), 'ti', 'ﬁ'), ' of ', chr(13) || chr(10) || 'of '),
+          'an', 'a-' || chr(10) || 'n'), '. ', '.' || chr(10) || ' ' || chr(10)), ', ', ' ' || '—' || chr(9) || chr(13)) || chr(10) AS text FROM documents""",
+    ),
+    "quoted": (["documents"], "SELECT doc_id, text, CASE doc_id % 6 WHEN 0 THEN substr(text, 11, 20) WHEN 1 THEN replace(substr(text, 11, 20), ' ', '  ') WHEN 2 THEN replace(substr(text, 11, 60), chr(10), ' ') WHEN 3 THEN '  ' ELSE 'no such (quote)' END AS q FROM documents"),
+    "drafts": (
+        ["customer"],
+        """SELECT c_custkey AS draft, CASE WHEN c_custkey % 11 = 0 THEN -c_custkey ELSE c_custkey END AS doc, c_mktsegment AS segment, CASE WHEN c_custkey % 13 = 0 THEN 'secret' WHEN c_custkey % 17 = 0 THEN 'steer' WHEN c_custkey % 2 = 0 THEN 'kind' ELSE 'topic' END AS field,
+        CASE c_custkey % 5 WHEN 0 THEN 'zzz' WHEN 1 THEN 'MAKER' WHEN 2 THEN 'sample' ELSE c_mktsegment END AS value, CASE c_custkey % 7 WHEN 0 THEN 'not there' WHEN 1 THEN c_mktsegment WHEN 2 THEN 'segment:  ' || c_mktsegment WHEN 3 THEN substr(c_mktsegment, 2, 4) WHEN 4 THEN 'sample ' || c_name ELSE 'segment: ' || c_mktsegment || '.' END AS quote FROM customer""",
+    ),
     "depths": (["lineitem"], "SELECT l_suppkey AS sample, l_linenumber AS run, l_returnflag AS file, CASE WHEN l_suppkey % 17 = 0 AND l_linenumber = 3 THEN NULL ELSE count(*) END AS reads FROM lineitem GROUP BY l_suppkey, l_linenumber, l_returnflag"),
     "candidates": (["part"], "SELECT p_partkey, p_brand AS dataset, p_name || '-' || CAST(p_partkey AS VARCHAR) AS name, CAST(p_size * 10 + p_partkey % 7 AS DOUBLE) / 500 AS value, p_partkey % 8 AS rung, p_partkey % 11 = 0 AS hit FROM part"),
     "file_names": (["orders"], "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'SRR' || CAST(o_orderkey AS VARCHAR) || '_' || CAST(1 + o_orderkey % 2 AS VARCHAR) || '.fastq.gz' WHEN 1 THEN 's' || CAST(o_custkey AS VARCHAR) || '_L00' || CAST(1 + o_orderkey % 4 AS VARCHAR) || '_R1_001.fastq.gz' WHEN 2 THEN 's' || CAST(o_custkey AS VARCHAR) || '_I2.fq' ELSE 'plain_' || CAST(o_orderkey AS VARCHAR) || CASE o_orderkey % 5 WHEN 0 THEN '_r1' WHEN 1 THEN '.R3_001' WHEN 2 THEN '_read-2' WHEN 3 THEN '_R1_y_2' ELSE '' END || '.FASTQ' END AS name FROM orders"),

@@ -22,14 +22,14 @@ def test_claims_fan_only_outside_variants(spark):
     texts = spark.createDataFrame(TEXTS, "id long, text string")
     claims = [(10, 1, "x", 10, 11, True), (11, 1, "WT", 7, 9, True), (12, 1, "age", 0, 3, False), (13, 2, "x", 11, 12, True), (14, 3, "other", 0, 5, True)]
     got = variants.fanned_claims(spark.createDataFrame(claims, "claim long, doc long, quote string, start int, end int, per_record boolean"), texts)
-    assert rows(got, "claim", "doc", "start", "fanned") == [(10, 1, 10, True), (10, 2, 11, True), (11, 1, 7, False), (12, 1, 0, True), (13, 2, 11, False), (14, 3, 0, False)]
+    assert rows(got, "claim", "doc", "start", "end", "fanned") == [(10, 1, 10, 11, True), (10, 2, 11, 12, True), (11, 1, 7, 9, False), (12, 1, 0, 3, True), (13, 2, 11, 12, False), (14, 3, 0, 5, False)]
 
 
 def test_declared_spans_are_whole_tokens(spark):
     texts = spark.createDataFrame([(1, "CD4 in CD45, CD4; a.b aXb a\\Eb"), (2, None)], "id long, text string")
-    columns = [(1, "marker", "CD4"), (1, "alias", "CD4"), (1, "dot", "a.b"), (1, "odd", "a\\Eb"), (1, "none", ""), (1, "null", None), (2, "x", "y")]
+    columns = [(1, "marker", "CD4"), (1, "alias", "CD4"), (1, "dot", "a.b"), (1, "odd", "a\\Eb"), (1, "none", ""), (1, "null", None), (1, "curly", "in\u00a0CD45"), (2, "x", "y")]
     got = variants.declared_spans(texts, spark.createDataFrame(columns, "id long, attribute string, value string"))
-    assert rows(got, "start", "end", "attribute") == [(0, 3, "alias"), (13, 16, "alias"), (18, 21, "dot"), (26, 30, "odd")]
+    assert rows(got, "start", "end", "attribute") == [(0, 3, "marker"), (4, 11, "curly"), (13, 16, "marker"), (18, 21, "dot"), (26, 30, "odd")]
 
 
 def test_displays_round_as_printf(spark):
