@@ -79,7 +79,7 @@ class WordTable:
     value: gives the array of a word not yet known. Beyond ``room`` words the table starts
     anew, so its memory is bounded; results don't depend on what it holds."""
 
-    def __init__(self, value: Callable[[str], np.ndarray], dtype, bits: int = 22, room: float = 0.6):
+    def __init__(self, value: Callable[[str], np.ndarray], dtype, bits: int = 20, room: float = 0.6):
         self.value, self.dtype, self.bits, self.most = value, dtype, bits, int(room * (1 << bits))
         self.clear()
 

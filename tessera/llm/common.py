@@ -57,14 +57,14 @@ class RangeHash:
     """64-bit hashes of many ranges of one array: prefix sums of a polynomial modulo 2**64, then mixed."""
 
     BASE = 0x9E3779B97F4A7C15 | 1
-    KEPT = 1 << 21  # powers that a worker keeps; longer arrays have their own
+    KEPT = 1 << 19  # powers that a worker keeps; longer arrays have their own
     _powers = np.ones(1, np.uint64)
     _inverse = np.ones(1, np.uint64)
 
     def __init__(self, codes: np.ndarray):
         n = len(codes)
         if len(self._powers) < n + 1:
-            size = max(1 << 20, n + 1)
+            size = max(1 << 19, n + 1)
             up, down = np.full(size, self.BASE, np.uint64), np.full(size, pow(self.BASE, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
             self._powers, self._inverse = np.multiply.accumulate(up), np.multiply.accumulate(down)
