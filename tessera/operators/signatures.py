@@ -26,6 +26,8 @@ class Test:
     expect (low, high). onlist_hit_rate: onlist, least, orientation, drift. motif_present: motif, where, start, end (of a window), mismatches, least.
     base_composition: base, least. header_index: present."""
 
+    __test__ = False  # none of pytest's
+
     use: str
     kind: str
     role: str | None = None

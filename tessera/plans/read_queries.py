@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import sequence
+from tessera.operators import observation
 from tessera.operators import reads as ops
 from tessera.plans.registry import query
 from tessera.plans.views import view, with_views
+from tessera.scratch import stored
 
 CYCLES = """
 cells AS (SELECT file, i - 1 AS cycle, substr(seq, i, 1) AS b FROM reads, unnest(range(1, length(seq) + 1)) AS u(i)),
@@ -103,6 +105,41 @@ FROM r GROUP BY file, part, r.kind""",
 def cycle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.segments(ops.per_cycle_composition(view(spark, sf_dir, "reads")))
 
+#: The runs of cycles of every file, over the view reads.
+SEGMENTS = f"""{CYCLES},
+p AS (SELECT file, cycle, CASE WHEN n_a + n_c + n_g + n_t > 0 AND greatest(n_a, n_c, n_g, n_t) >= (n_a + n_c + n_g + n_t) * 0.9 THEN {BASE} ELSE '.' END AS b FROM cycles),
+i AS (SELECT *, cycle - row_number() OVER (PARTITION BY file, b ORDER BY cycle) AS island FROM p),
+k AS (SELECT *, CASE WHEN b = '.' THEN 'random' WHEN count(*) OVER (PARTITION BY file, b, island) >= 4 THEN 'homopolymer' || b ELSE 'constant' END AS kind FROM i),
+g AS (SELECT *, CASE WHEN kind <> lag(kind) OVER (PARTITION BY file ORDER BY cycle) THEN 1 ELSE 0 END AS step FROM k),
+r AS (SELECT *, sum(step) OVER (PARTITION BY file ORDER BY cycle) AS part FROM g),
+segs AS (SELECT file, min(cycle) AS start, max(cycle) + 1 AS "end", regexp_extract(kind, '^(constant|homopolymer|random)', 1) AS kind, CASE WHEN kind <> 'random' THEN string_agg(b, '' ORDER BY cycle) END AS bases FROM r GROUP BY file, part, r.kind)"""
+
+
+@query(
+    with_views(
+        f"""WITH {SEGMENTS},
+lens AS (SELECT file, length(seq) AS l, count(*) AS n FROM reads GROUP BY file, length(seq)),
+sizes AS (SELECT file, CAST(sum(n) AS BIGINT) AS n_reads, CAST(arg_max(l, n * 1000 - l) AS INT) AS mode_length, CAST(min(l) AS INT) AS least_length, CAST(max(l) AS INT) AS most_length FROM lens GROUP BY file),
+head AS (SELECT file, CAST(count(*) AS INT) AS n_cycles, sum(n) AS reached, sum(n - n_n) AS called FROM cycles GROUP BY file),
+cover AS (SELECT s.file, s.start, s."end", kind, bases, sum(n - n_n) / (any_value(n_reads) * (any_value(s."end") - any_value(s.start))) AS coverage FROM segs s JOIN sizes USING (file) JOIN cycles c ON c.file = s.file AND c.cycle >= s.start AND c.cycle < s."end" GROUP BY s.file, s.start, s."end", kind, bases),
+listed AS (SELECT file, string_agg(start || '-' || "end" || ' ' || kind || ' ' || coalesce(bases, '') || ' ' || CAST(round(coverage * 1000000) AS BIGINT), ';' ORDER BY start) AS segments FROM cover GROUP BY file),
+cut AS (SELECT s.file, s.start, s."end", count(*) AS n, count(DISTINCT substr(seq, s.start + 1, s."end" - s.start)) / count(*) AS ratio FROM segs s JOIN reads USING (file) WHERE kind = 'random' AND length(seq) >= s."end" GROUP BY s.file, s.start, s."end"),
+windows AS (SELECT file, string_agg(start || '-' || "end" || ' ' || n || ' ' || CAST(round(ratio * 1000000) AS BIGINT), ';' ORDER BY start) AS windows FROM cut GROUP BY file)
+SELECT file, n_reads, mode_length, least_length, most_length, n_cycles, round(reached / (n_reads * n_cycles), 9) AS reach, round(called / reached, 9) AS called, segments, coalesce(windows, '') AS windows
+FROM sizes JOIN head USING (file) JOIN listed USING (file) LEFT JOIN windows USING (file)""",
+        "reads",
+    )
+)
+def file_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals of every file at once."""
+    rows = observation.observations(stored(view(spark, sf_dir, "reads").select("file", "seq"), "reads"))
+    parts = lambda s, *more: F.concat(s.start.cast("string"), F.lit("-"), s.end.cast("string"), *(x for m in more for x in (F.lit(" "), m)))
+    millionths = lambda x: F.round(x * 1000000).cast("long").cast("string")
+    segments = F.array_join(F.transform("segments", lambda s: parts(s, s.kind, F.coalesce(s.bases, F.lit("")), millionths(s.coverage))), ";")
+    windows = F.array_join(F.transform(F.coalesce("windows", F.array().cast("array<struct<start:bigint,end:bigint,n:bigint,ratio:double>>")), lambda s: parts(s, s.n.cast("string"), millionths(s.ratio))), ";")
+    return rows.withColumns({"segments": segments, "windows": windows})
+
+
 
 @query(
     with_views(
