@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from tessera.plans import bundle_queries, frame_queries, gate_queries, interval_queries, metric_queries, molecule_queries, predicate_queries, read_queries, read_set_queries, record_queries, source_queries, text_queries, tree_queries, variant_queries  # noqa: E402, F401  they register
+from tessera.plans import bundle_queries, equivalence_queries, frame_queries, gate_queries, interval_queries, metric_queries, molecule_queries, predicate_queries, read_queries, read_set_queries, record_queries, source_queries, text_queries, tree_queries, variant_queries  # noqa: E402, F401  they register
