@@ -111,7 +111,13 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.chunked(rows, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], 3).select("o_orderkey", "o_custkey", "chunk")
 
 
-@query()  # a greedy, stateful walk: tested against brute force
+@query(
+    """WITH RECURSIVE r AS (SELECT conv_id AS key, turn AS ordinal, md5(text) AS sha, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+w AS (SELECT key, ordinal, i, CAST(0 AS BIGINT) AS batch, 1 AS size, chars, [sha] AS seen FROM r WHERE i = 1
+  UNION ALL SELECT key, ordinal, i, batch + shut, CASE WHEN shut = 1 THEN 1 ELSE size + 1 END, CASE WHEN shut = 1 THEN new ELSE chars + new END, CASE WHEN shut = 1 THEN [sha] ELSE list_append(seen, sha) END
+  FROM (SELECT r.key, r.ordinal, r.i, r.sha, r.chars AS new, w.batch, w.size, w.chars, w.seen, CASE WHEN w.size >= 4 OR w.chars + r.chars > 2000 OR list_contains(w.seen, r.sha) THEN 1 ELSE 0 END AS shut FROM w JOIN r ON r.key = w.key AND r.i = w.i + 1) n)
+SELECT key, ordinal, batch FROM w"""
+)
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return ops.greedy_batches(rows.select(F.col("conv_id").alias("key"), F.col("turn").alias("ordinal"), F.md5("text").alias("sha"), F.length("text").alias("chars")), 4, 2000)

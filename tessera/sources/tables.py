@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNITS = "sample string, run string, lane string, read string, path string"
@@ -27,14 +27,31 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """row, column (0-based), value of a coordinate matrix: comments and the line of sizes are left out.
+    """file, row, column (0-based), value of the coordinate matrices of a path: comments and each file's line of sizes are left out.
 
-    The line of sizes is the first that is no comment, found by its place in the file."""
-    text = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    sizes = text.agg(F.min("at").alias("sizes"))  # one row
+    The line of sizes is a file's first that is no comment, found by its place in the file."""
+    text = spark.read.text(path).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("at")).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    sizes = text.groupBy("file").agg(F.min("at").alias("sizes"))  # a row for each file
     parts = F.split(F.trim("value"), r"\s+")
-    rows = text.join(F.broadcast(sizes)).where("at > sizes")
-    return rows.select((parts[0].cast("long") - 1).alias("row"), (parts[1].cast("long") - 1).alias("column"), parts[2].cast("double").alias("value"))
+    rows = text.join(sizes, "file").where("at > sizes")
+    return rows.select("file", (parts[0].cast("long") - 1).alias("row"), (parts[1].cast("long") - 1).alias("column"), parts[2].cast("double").alias("value"))
+
+
+def write_matrix_market(entries: DataFrame, path: str, rows: int, columns: int) -> None:
+    """Writes entries (row, column, value; 0-based) as one coordinate matrix of these sizes, in order of column, then row."""
+    count = entries.count()
+    head = entries.sparkSession.createDataFrame([(-2, 0, "%%MatrixMarket matrix coordinate integer general"), (-1, 0, f"{rows} {columns} {count}")], "column long, row long, value string")
+    line = F.concat_ws(" ", F.col("row") + 1, F.col("column") + 1, F.col("value").cast("long"))
+    body = entries.select(F.col("column").cast("long"), F.col("row").cast("long"), line.alias("value"))
+    head.union(body).coalesce(1).sortWithinPartitions("column", "row").select("value").write.text(path)
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """file, at (from 0), name and fields (what stands behind a tab) of files that list one feature or barcode to a line, in order; empty lines are left out."""
+    text = spark.read.text(path).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("line")).where("value <> ''")
+    at = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
+    parts = F.split("value", "\t")
+    return text.select("file", at.cast("long").alias("at"), parts[0].alias("name"), F.slice(parts, 2, 99).alias("fields"))
 
 
 def read_key_values(spark: SparkSession, path: str, separator: str = r"\s*\|\s*") -> DataFrame:

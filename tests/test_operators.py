@@ -147,7 +147,7 @@ def test_fastq_source(spark, tmp_path):
 
 def test_tables(spark, tmp_path):
     (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% x\n3 2 2\n1 1 5\n3 2 7\n")
-    assert [tuple(r) for r in tables.read_matrix_market(spark, str(tmp_path / "m.mtx")).orderBy("row").collect()] == [(0, 0, 5.0), (2, 1, 7.0)]
+    assert [tuple(r) for r in tables.read_matrix_market(spark, str(tmp_path / "m.mtx")).drop("file").orderBy("row").collect()] == [(0, 0, 5.0), (2, 1, 7.0)]
     (tmp_path / "a.gtf").write_text('#c\nchr1\tx\texon\t11\t20\t.\t+\t.\tgene_id "G1"; gene_name "N1"; gene_type "t";\n')
     assert tuple(tables.read_gtf(spark, str(tmp_path / "a.gtf")).first()) == ("chr1", "exon", 10, 20, "G1", "N1", "t")
     (tmp_path / "log").write_text("Reads | 12\nnothing\n  Rate |  3.5%\n")
