@@ -60,9 +60,33 @@ def _creative_commons() -> list[tuple[str, str, str]]:
     return out
 
 
+#: Names by which a sentence may call a licence, and the licence; the first that fits at a place counts.
+NAMES: list[tuple[str, str]] = [
+    (r"(bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", "BSD-3-Clause"), (r"(bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "BSD-2-Clause"), (r"bsd", "BSD"),
+    (r"apache( software)?( license)?( version)?( ?2(\.0)?)?", "Apache-2.0"), (r"(mit x11|mit expat|mit)", "MIT"), (r"isc", "ISC"),
+    *((rf"{name.lower()} ?(version |v)?{v.replace('.', '[.]')}(\.0)?{how}", f"{name}-{v}" + ("" if "." in v else ".0") + tail) for name, vs in (("AGPL", ("3",)), ("LGPL", ("2.1", "3", "2")), ("GPL", ("3", "2"))) for v in vs for how, tail in ((" only", "-only"), (" or later", "-or-later"), ("", ""))),
+    (r"(mozilla public license|mpl)( version)? ?2(\.0)?", "MPL-2.0"), (r"(cc0|unlicense)", "CC0-1.0"), (r"artistic( license)?( version)? 2(\.0)?", "Artistic-2.0"),
+]
+_NAME = "(" + "|".join(p for p, _ in NAMES) + ")( licenses?)?"
+_CALLED = r"( the| a| an| either| either of| either of the)*"
+#: Sentences that name licences, one or several, and no more: the names are looked for in them.
+NAMED = [
+    rf"(under|license[ds]?|licensed?)( the terms of)?{_CALLED} {_NAME} (and|or|and or){_CALLED} {_NAME}( |$)",
+    rf"^(the )?licenses? (is |are )?{_NAME}$",
+    rf"{UNDER}{_NAME}( |$)",
+]
+
 #: Identifiers of known licence sentences and what their normalised forms hold; the first that fits counts.
 SENTENCES: list[tuple[str, str]] = [
     ("spdx", r"^spdx license identifier .+"),
+    ("named", NAMED[0]),
+    ("mit-title", r"^(the )?mit license( mit)?$"),
+    ("gpl-3-title", r"^gnu general public license version 3 29 june 2007"),
+    ("gpl-2-title", r"^gnu general public license version 2 june 1991"),
+    ("agpl-3-title", r"^gnu affero general public license version 3 19 november 2007"),
+    ("lgpl-3-title", r"^gnu lesser general public license version 3 29 june 2007"),
+    ("cc-by-4-title", r"^(creative commons )?attribution 4\.0 international( public license)?$"),
+    ("artistic-title", r"^the artistic license 2\.0"),
     ("apache-grant", UNDER + r"apache (software )?license( version)? 2(\.0)?( |$)"),
     ("apache-title", r"^apache license version 2\.0 january 2004"),
     ("apache-use", r"you may not use (this file|these files|this software) except in compliance with the license"),
@@ -101,6 +125,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("zlib-as-is", r"this software is provided as is without any express or implied warranty"),
     ("zlib-grant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
     ("epl-2", UNDER + r"eclipse public license( version)? 2(\.0)?"),
+    ("named", "|".join(f"({p})" for p in NAMED[1:])),
     ("reserved", r"all rights reserved$"),
     ("copyright", r"copyright (c )?[0-9]{4}"),
 ]
@@ -119,6 +144,13 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("zlib-as-is", "zlib-grant"), "Zlib"),
     (("apache-grant",), "Apache-2.0"),
     (("apache-title",), "Apache-2.0"),
+    (("mit-title",), "MIT"),
+    (("gpl-3-title",), "GPL-3.0"),
+    (("gpl-2-title",), "GPL-2.0"),
+    (("agpl-3-title",), "AGPL-3.0"),
+    (("lgpl-3-title",), "LGPL-3.0"),
+    (("cc-by-4-title",), "CC-BY-4.0"),
+    (("artistic-title",), "Artistic-2.0"),
     (("mit-mention",), "MIT"),
     (("isc-grant",), "ISC"),
     (("isc-mention",), "ISC"),
@@ -152,12 +184,22 @@ def sentence_id(normal: Column) -> Column:
     return out
 
 
+def names_in(normal: Column) -> Column:
+    """The licences that a sentence names; a name that is part of one found before is not looked at again."""
+    rest, found = normal, []
+    for pattern, licence in NAMES:
+        whole = rf"(^| )({pattern})( |$)"
+        found.append(F.when(rest.rlike(whole), F.lit(licence)))
+        rest = F.regexp_replace(rest, whole, " - ")
+    return F.array_compact(F.array(*found))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """Licences that the texts of ``docs`` (doc_id, text; other columns are left out) state.
 
     Per row: doc_id, n_sentences, n_known (known licence sentences), sentence_ids (their
     identifiers, in order, joined by commas), licenses (distinct SPDX names, sorted, joined by
-    commas; an SPDX line adds its own as SPDX:...; Proprietary if all rights are reserved and
+    commas; an SPDX line adds its own as SPDX:..., a sentence that names several all of them; Proprietary if all rights are reserved and
     nothing else is stated) and licensed. Sentences that say that something is not under a
     licence count as unknown. A null or empty text has no sentences; repeated rows repeat; an
     empty table gives an empty result."""
@@ -168,10 +210,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", sentences.alias("s"))
     # normalised once, then looked up
     telling = F.transform(F.filter("s", lambda s: F.lower(s).rlike(TELLING)), lambda s: F.struct(normalised(s).alias("n"), s.alias("s")))
-    telling = F.transform(telling, lambda x: F.struct(sentence_id(x.n).alias("id"), x.s.alias("s")))
+    telling = F.transform(telling, lambda x: F.struct(sentence_id(x.n).alias("id"), x.s.alias("s"), x.n.alias("n")))
     rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.filter(telling, lambda x: x.id.isNotNull()).alias("known"))
     spdx = F.transform(F.filter("known", lambda x: x.id == "spdx"), lambda x: F.concat(F.lit("SPDX:"), F.regexp_extract(x.s, r":[ \t]*(.*?)[ \t*/>-]*$", 1)))
-    rows = rows.select("doc_id", "n_sentences", F.transform("known", lambda x: x.id).alias("ids"), spdx.alias("spdx"))
+    called = F.flatten(F.transform(F.filter("known", lambda x: x.id == "named"), lambda x: names_in(x.n)))
+    rows = rows.select("doc_id", "n_sentences", F.transform("known", lambda x: x.id).alias("ids"), F.concat(spdx, called).alias("spdx"))
     rules = F.array(*(F.struct(F.lit("|" + "|".join(run) + "|").alias("run"), F.lit(licence).alias("licence")) for run, licence in RULES))
     start = F.struct(F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|")).alias("rest"), F.array().cast("array<string>").alias("hits"))
     # each rule works on what earlier rules left
@@ -203,6 +246,12 @@ def _sql() -> str:
     normal = "lower(s)"
     for pattern, put in NORMAL:
         normal = f"regexp_replace({normal}, {_quoted(pattern)}, {_quoted(put)}, 'g')"
+    lists, rest = [], "n"
+    for pattern, licence in NAMES:
+        whole = rf"(^| )({pattern})( |$)"
+        lists.append(f"CASE WHEN regexp_matches({rest}, {_quoted(whole)}) THEN '{licence}' END")
+        rest = f"regexp_replace({rest}, {_quoted(whole)}, ' - ', 'g')"
+    called = f"list_filter([{', '.join(lists)}], lambda x: x IS NOT NULL)"
     case = " ".join(f"WHEN regexp_matches(n, {_quoted(p)}) THEN '{k}'" for k, p in SENTENCES)
     steps, hits = "", []
     for k, (run, licence) in enumerate(RULES):
@@ -215,10 +264,10 @@ e AS (
   SELECT doc_id, i, s[i] AS s FROM t, unnest(range(1, len(s) + 1)) AS u(i)
   WHERE regexp_matches(lower(s[i]), {_quoted(TELLING)})),
 n AS (SELECT doc_id, i, s, {normal} AS n FROM e),
-k AS (SELECT doc_id, i, s, CASE WHEN regexp_matches(n, {_quoted(NEGATED)}) THEN NULL {case} END AS id FROM n),
+k AS (SELECT doc_id, i, s, n, CASE WHEN regexp_matches(n, {_quoted(NEGATED)}) THEN NULL {case} END AS id FROM n),
 g AS (
   SELECT doc_id, count(*) AS n_known, string_agg(id, '|' ORDER BY i) AS ids,
-    list('SPDX:' || regexp_extract(s, ':[ \\t]*(.*?)[ \\t*/>-]*$', 1)) FILTER (id = 'spdx') AS spdx
+    list_concat(coalesce(list('SPDX:' || regexp_extract(s, ':[ \\t]*(.*?)[ \\t*/>-]*$', 1)) FILTER (id = 'spdx'), []), coalesce(flatten(list({called}) FILTER (id = 'named')), [])) AS spdx
   FROM k WHERE id IS NOT NULL GROUP BY doc_id),
 q0 AS (
   SELECT t.doc_id, len(t.s) AS n_sentences, coalesce(n_known, 0) AS n_known, coalesce(ids, '') AS ids, spdx, '|' || coalesce(ids, '') || '|' AS r0

@@ -108,7 +108,7 @@ WANT = [
     (BSD2 + BSD_END, f"{BSD_IDS},bsd-as-is,bsd-liability", "BSD-2-Clause"),
     (BSD3 + BSD_END, f"{BSD_IDS},bsd-names,bsd-as-is,bsd-liability", "BSD-3-Clause"),
     (MIT, "mit-grant,mit-notice", "MIT"),
-    ("MIT License\n\nCopyright (c) 2019 A. Holder\n\n" + MIT + MIT_END, "copyright,mit-grant,mit-notice,mit-as-is,mit-liability", "MIT"),
+    ("MIT License\n\nCopyright (c) 2019 A. Holder\n\n" + MIT + MIT_END, "mit-title,copyright,mit-grant,mit-notice,mit-as-is,mit-liability", "MIT"),
     (ISC, "isc-grant,isc-as-is", "ISC"),
     (APACHE, "copyright,apache-grant,apache-copy,apache-as-is,apache-see", "Apache-2.0"),
     (gnu("program", "", ":", 3), f"GPL-3.0-or-later,{GNU_REST}", "GPL-3.0-or-later"),
