@@ -33,7 +33,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]] if len(bounds) else data[:0], bounds - bounds[0]
 
 
-def slices(rows: pa.RecordBatch | pa.Array, bounds: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def slices(rows: pa.RecordBatch | pa.Array, bounds: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch or column with about ``limit`` bytes of text each; a longer text is a range of its own."""
     lo, n = 0, rows.num_rows if isinstance(rows, pa.RecordBatch) else len(rows)
     while lo < n:
@@ -78,7 +78,7 @@ class RangeHash:
         return mix64(h + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def arrow_limits(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+def arrow_limits(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
     """Arrow batches towards Python hold so many rows and bytes at most (a longer row is a batch of its own)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
