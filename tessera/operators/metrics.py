@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import itertools
 import random
 
 from pyspark.sql import functions as F
