@@ -128,6 +128,11 @@ def _wide(values: bytes, n: int, dim: int, width: int) -> np.ndarray:
     return out
 
 
+def _unsent(table: DataFrame) -> DataFrame:
+    """``table``, never broadcast in the next join: Spark goes by the size of its compressed files, a small part of that in the driver's memory."""
+    return table.hint("merge")
+
+
 def _mined(rows: DataFrame, anchors: DataFrame, groups: int, same: bool, k: int, least: int, most: int) -> DataFrame:
     """anchor_id, window, vec_id, score: the first ``k`` rows of each group of blocks for each window of an anchor.
 
@@ -185,7 +190,7 @@ def _mined(rows: DataFrame, anchors: DataFrame, groups: int, same: bool, k: int,
     named = anchors.select(F.col("block").alias("anchor_block"), F.col("dim").alias("anchor_dim"), F.col("labels").alias("anchor_labels"), F.col("kinds").alias("anchor_kinds"), F.col("ids").alias("anchor_ids"), F.col("values").alias("anchor_values"), *([] if same else ["scores"]))
     cells = named.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     dealt = rows.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    met = cells.join(dealt, (cells["group"] == dealt["group"]) & F.arrays_overlap("anchor_kinds", "kinds") if same else cells["group"] == dealt["group"])
+    met = cells.join(_unsent(dealt), (cells["group"] == dealt["group"]) & F.arrays_overlap("anchor_kinds", "kinds") if same else cells["group"] == dealt["group"])
     columns = ["anchor_block", "anchor_dim", "anchor_labels", "anchor_ids", "anchor_values", "block", "dim", "labels", "ids", "values", *([] if same else ["scores"])]
     return met.select(*columns).mapInArrow(run, "anchor_id long, window int, vec_id long, score long")
 
@@ -226,9 +231,9 @@ def mine_negatives(
     best = scratch.stored(best.select("anchor_id", F.col("rank").alias("place"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     lists = best.groupBy("anchor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "positive_score"))), lambda x: x.positive_score).alias("scores"))
     padded = F.concat("scores", F.array_repeat(F.lit(NONE), F.lit(positives) - F.size("scores")))
-    asked = queries.join(lists.select(F.col("anchor_id").alias("vec_id"), padded.alias("scores")), "vec_id")
+    asked = queries.join(_unsent(lists.select(F.col("anchor_id").alias("vec_id"), padded.alias("scores"))), "vec_id")
     found = _ranked(_mined(blocks, _blocks(asked, "scores"), groups, False, negatives, least, most), ["anchor_id", "window"], negatives)
-    found = found.withColumn("place", F.col("window") + 1).join(best, ["anchor_id", "place"])
+    found = found.withColumn("place", F.col("window") + 1).join(_unsent(best), ["anchor_id", "place"])
     result = stored(found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives")
     scratch.drop()
     return result

@@ -92,3 +92,15 @@ def test_intervals_keep_exactly_the_scores_within():
     row, col, score = within(planes(q, np.float64), a, low, high, live)
     there = live & (want >= low) & (want <= high)
     assert sorted(zip(row.tolist(), col.tolist(), score.tolist(), strict=True)) == [(r, c, want[r, c]) for r, c in np.argwhere(there).tolist()]
+
+
+def test_no_table_goes_through_the_driver(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = lambda: {store.executionsList().apply(k).executionId(): store.executionsList().apply(k).physicalPlanDescription() for k in range(store.executionsList().size())}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = ran()
+    assert mined(spark, vectors(6, 200))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [plan for k, plan in ran().items() if k not in before]
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 2
+    assert not [plan for plan in plans if "BroadcastExchange" in plan]
