@@ -4,11 +4,13 @@ import hashlib
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical
+from tessera.plans import registry
 
 SCHEMA = "c struct<name:string, n:long, x:double, ok:boolean, tags:array<string>, deep:struct<b:array<struct<k:int>>, a:map<string,long>, note:string>>"
 
@@ -46,3 +48,17 @@ def test_runs_and_refusals(spark):
     assert one == hashlib.sha256(b"d|proc=p|spec=s|wf=1").hexdigest()
     with pytest.raises(ValueError, match="doubles"):
         canonical.with_content_hash(spark.createDataFrame([], "c struct<x:array<double>>"), "c")
+
+
+def test_hashes_of_odd_customers_equal_their_sql(spark, tmp_path):
+    rng = random.Random(2)
+    numbers = [-0.0, 0.0, None, -5.0, 1e7, 1e15, 0.01, -0.29, 1e-5, 1e-7, 123456789.125, 0.1 + 0.2, 2.0 / 3]
+    given = [(rng.choice([k, k, k, -k, None]), rng.choice([f"Customer#{k}", f"Customer#{k}", None]), rng.choice([*range(25), None]), numbers[k % len(numbers)], rng.choice(["FURNITURE", "MACHINERY", None])) for k in range(200)]
+    path = f"{tmp_path}/customer.parquet"
+    spark.createDataFrame(given, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(path)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW customer AS SELECT * FROM '{path}/*.parquet'")
+    got = registry.QUERIES["content_hashes"](spark, str(tmp_path)).select("id", "content_hash", "run_id").collect()
+    want = db.sql(f"SELECT id, content_hash, run_id FROM ({registry.ORACLE_SQL['content_hashes']})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert {r.content_hash is None for r in got} == {True, False}
